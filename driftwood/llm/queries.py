@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, jaccard_join
 from .bpe import op6_byte_bpe
 from .decontam import op4_decontaminate
+from .jaccard_join import op3_jaccard_join
 from .langid import op5_language_id
+from .lattice import op10_lattice_dedup
 from .pii import op9_pii
 from .tokcount import op7_token_counts
 from .urls import op8_url_filters
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_language_id, op6_byte_bpe, op7_token_counts, op8_url_filters, op9_pii)}
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": decontam.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op3_jaccard_join, op4_decontaminate, op5_language_id, op6_byte_bpe, op7_token_counts, op8_url_filters, op9_pii, op10_lattice_dedup)}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": jaccard_join.oracle_sql(), "op4_decontaminate": decontam.ORACLE_SQL}
