@@ -70,7 +70,7 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
 _SHINGLES = r"""
 {name}_w AS (
   SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS i, len(l) AS n
-  FROM (SELECT id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l
+  FROM (SELECT id, list_filter(string_split_regex({lower}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l
         FROM (SELECT {id} AS id, text FROM {table}))
 ),
 {name}_l AS (
@@ -82,9 +82,9 @@ _SHINGLES = r"""
 )"""
 
 
-def shingles_sql(name: str, source: str, key: str) -> str:
+def shingles_sql(name: str, source: str, key: str, lower: str = "lower(text)") -> str:
     """Common table expressions in DuckDB's dialect: {name}(id, s), distinct 5-word shingles."""
-    return _SHINGLES.format(name=name, table=source, id=key)
+    return _SHINGLES.format(name=name, table=source, id=key, lower=lower)
 
 
 ORACLE_SQL = f"""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, shuffle_partitions, small, table
+from ._common import LOWER, UPPER, durable, shuffle_partitions, small, table
 from ._hashing import mix, shingle_sets
 from .components import connected_components
 
@@ -279,7 +279,7 @@ def oracle_sql() -> str:
     from .decontam import shingles_sql
 
     return f"""
-WITH RECURSIVE {shingles_sql("d", "documents", "doc_id")},
+WITH RECURSIVE {shingles_sql("d", "documents", "doc_id", f"translate(text, '{UPPER}', '{LOWER}')")},
 size AS MATERIALIZED (SELECT id, count(*) AS n FROM d GROUP BY id),
 common AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS k FROM d x JOIN d y ON x.s = y.s AND x.id <> y.id GROUP BY ALL),
 link AS MATERIALIZED (SELECT a, b FROM common JOIN size p ON p.id = a JOIN size q ON q.id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
