@@ -1,6 +1,8 @@
-"""The queries of the journal and tree operators, with their SQL for DuckDB."""
+"""All queries of the journal and tree operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import cas_queries, journal_queries, surface_queries, tree_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
