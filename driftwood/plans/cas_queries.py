@@ -90,7 +90,7 @@ def cas_read_range(spark, sf_dir):
 
 @query(f"""WITH {_CHUNKS}, held AS (SELECT * FROM chunk WHERE NOT (node % 4 = 1 AND off = 2048)),
 w AS (SELECT node AS req, node, unnest(range(0, 6)) AS i FROM blob), q AS (SELECT req, w.node, i, len FROM w LEFT JOIN held h ON h.node = w.node AND h.off = i * 1024),
-p AS (SELECT req, i, greatest(0, coalesce(least(500 + 5000, i * 1024 + len) - greatest(500, i * 1024), 0)) AS part, least(500 + 5000, (i + 1) * 1024) - greatest(500, i * 1024) AS full_ FROM q),
+p AS (SELECT req, i, CASE WHEN len IS NULL THEN 0 ELSE greatest(0, least(500 + 5000, i * 1024 + len) - greatest(500, i * 1024)) END AS part, least(500 + 5000, (i + 1) * 1024) - greatest(500, i * 1024) AS full_ FROM q),
 z AS (SELECT *, coalesce(max((part < full_)::int) OVER (PARTITION BY req ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM p)
 SELECT req, sum(part)::bigint AS n FROM z WHERE gap = 0 GROUP BY req""")
 def cas_assemble_read(spark, sf_dir):

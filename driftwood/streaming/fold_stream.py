@@ -1,0 +1,63 @@
+"""The journal fold and the change feed as Structured Streaming queries.
+
+The fold keeps one state a share: its tree and the last sequence number that was applied.  Records
+at or below that number are dropped, so a replayed batch changes nothing, and a restart from the
+checkpoint goes on where it stopped.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from driftwood.operators.fold import NODES, RECORD, Tree, _records, _table, feed_lines, feed_match
+
+STATE = "tree binary, last_seq bigint, overflows bigint, gaps bigint"
+SUMMARY = "share bigint, last_seq bigint, nodes bigint, dirs bigint, entries bigint, gaps bigint, overflows bigint, resync boolean"
+
+
+def _advance(parts: Iterator[pd.DataFrame], state: GroupState) -> tuple[Tree, int, int, int]:
+    tree, last, overflows, gaps = (pickle.loads(bytes(state.get[0])), *state.get[1:]) if state.exists else (Tree(), 0, 0, 0)
+    rows = pd.concat(list(parts), ignore_index=True).sort_values("seq", kind="stable")
+    for r in _records(rows):
+        if r["seq"] <= last:
+            continue
+        # The first batch after an empty state adopts its number.
+        gaps += last > 0 and r["seq"] != last + 1
+        last = r["seq"]
+        overflows += r["op"] == "overflow"
+        tree.apply(r)
+    state.update((pickle.dumps(tree), last, overflows, gaps))
+    return tree, last, overflows, gaps
+
+
+def _summary(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    tree, last, overflows, gaps = _advance(parts, state)
+    dirs = [n.dir for n in tree.nodes.values() if n.dir is not None]
+    yield pd.DataFrame([(key[0], last, len(tree.nodes), len(dirs), sum(len(d.names) for d in dirs), gaps, overflows, tree.resync)], columns=[c.strip().split(" ")[0] for c in SUMMARY.split(",")])
+
+
+def _nodes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    tree, *_ = _advance(parts, state)
+    yield _table(list(tree.rows(key[0])))
+
+
+def fold_stream(records: DataFrame, nodes: bool = False) -> DataFrame:
+    """A streaming frame of summaries (or, with ``nodes``, of all nodes) of the shares a batch touches."""
+    group = records.where("share IS NOT NULL").groupBy("share")
+    f, schema = (_nodes, NODES) if nodes else (_summary, SUMMARY)
+    return group.applyInPandasWithState(f, schema, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def feed_stream(records: DataFrame, prefix: str | None = None) -> DataFrame:
+    """JSON lines of records (op, share, path, size), of those under a plain text prefix if given."""
+    rows = records if prefix is None else records.where(feed_match(prefix, "path"))
+    return feed_lines(rows).select("seq", F.col("line").alias("value"))
+
+
+__all__ = ["RECORD", "SUMMARY", "feed_stream", "fold_stream"]

@@ -1,0 +1,184 @@
+"""The journal fold: literal cases, a random model, repeats, and the stream against the batch."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from driftwood.operators import fold
+from driftwood.operators.fold import ROOT, Tree
+
+
+def rec(op, ino=None, parent=ROOT, name=None, kind="file", **more):
+    return {"op": op, "ino": ino, "gen": 1, "parent_ino": parent[0], "parent_gen": parent[1], "name": name, "kind": kind, "mode": 0o644, "size": 0, "mtime_sec": 1, "version": 0, "has_attr": True} | more
+
+
+def created(ino, name, parent=ROOT, kind="file", **more):
+    return rec("created", ino, parent, name, kind, **more)
+
+
+def apply(*records, tree=None):
+    tree = tree or Tree()
+    for r in records:
+        tree.apply(r)
+    return tree
+
+
+def names(tree, key=ROOT):
+    return {n: e[1][0] for n, e in tree.nodes[key].dir.names.items()}
+
+
+def test_removal_takes_the_subtree_along():
+    t = apply(created(2, "a", kind="dir"), created(3, "b", (2, 1), "dir"), created(4, "c", (3, 1)), created(5, "d", (2, 1)))
+    assert len(t.nodes) == 5
+    assert set(apply(rec("removed", name="a"), tree=t).nodes) == {ROOT}
+
+
+def test_rename_keeps_identity_size_and_links_and_gets_a_fresh_cookie():
+    t = apply(created(2, "a", size=7), created(3, "d", kind="dir"))
+    before = t.nodes[ROOT].dir.names["a"][0]
+    apply(rec("renamed", name="a", to_parent_ino=3, to_parent_gen=1, to_name="z"), rec("renamed", parent=(3, 1), name="z", to_parent_ino=1, to_parent_gen=0, to_name="a"), tree=t)
+    assert (t.nodes[2, 1].size, t.nodes[2, 1].links, names(t)) == (7, 1, {"d": 3, "a": 2})
+    assert t.nodes[ROOT].dir.names["a"][0] > before
+
+
+def test_content_waits_for_its_node_and_attr_keeps_the_version():
+    t = apply(rec("content", 2, size=9, version=7), created(2, "a", size=1))
+    assert (t.nodes[2, 1].size, t.nodes[2, 1].version) == (9, 7)
+    apply(rec("attr", 2, size=3, mode=0o600), tree=t)
+    assert (t.nodes[2, 1].size, t.nodes[2, 1].version, t.nodes[2, 1].mode) == (3, 7, 0o600)
+
+
+def test_hard_link_survives_one_removal_and_repeats_count_once():
+    t = apply(created(2, "a"), created(2, "a"), created(2, "b"))
+    assert t.nodes[2, 1].links == 2
+    apply(rec("removed", name="a"), tree=t)
+    assert t.nodes[2, 1].links == 1
+    assert (2, 1) not in apply(rec("removed", name="b"), tree=t).nodes
+
+
+def test_replacement_gets_a_fresh_cookie_and_one_generation():
+    t = apply(created(2, "a"))
+    cookie, generation = t.nodes[ROOT].dir.names["a"][0], t.nodes[ROOT].dir.generation
+    apply(created(3, "a"), tree=t)
+    assert t.nodes[ROOT].dir.names["a"][0] == cookie + 1
+    assert t.nodes[ROOT].dir.generation == generation + 1
+    assert (2, 1) not in t.nodes
+
+
+def test_self_removed_leaves_the_entry_dangling():
+    t = apply(created(2, "a"), rec("self_removed", 2))
+    assert (2, 1) not in t.nodes
+    assert names(t) == {"a": 2}
+
+
+def test_rename_to_a_missing_parent_leaks_the_node():
+    t = apply(created(2, "a"), rec("renamed", name="a", to_parent_ino=99, to_parent_gen=1, to_name="b"))
+    assert (2, 1) in t.nodes
+    assert names(t) == {}
+
+
+@pytest.mark.parametrize("compat, links", [(True, 2), (False, 1)])
+def test_rename_onto_another_link_of_the_node(compat, links):
+    t = apply(created(2, "a"), created(2, "b"), rec("renamed", name="a", to_parent_ino=1, to_parent_gen=0, to_name="b"), tree=Tree(compat))
+    assert t.nodes[2, 1].links == links
+
+
+def test_entry_of_a_missing_parent_is_dropped_and_overflow_asks_for_resync():
+    t = apply(created(2, "a", (50, 1)), rec("overflow"))
+    assert t.nodes[2, 1].links == 0
+    assert t.resync
+
+
+def test_snapshot_records_in_any_order():
+    attr = {"kind": "dir", "mode": 0o755, "size": 0, "mtime_sec": 0}
+    leaf = attr | {"kind": "file"}
+    records = [
+        {"dir": (3, 1), "attr": attr, "parent": (2, 1), "entries": [{"name": "deep", "node": (4, 1), "attr": leaf}], "last": True},
+        {"dir": ROOT, "attr": attr, "parent": ROOT, "entries": [{"name": "src", "node": (2, 1), "attr": attr}], "last": True},
+        {"dir": (2, 1), "attr": attr, "parent": ROOT, "entries": [{"name": "sub", "node": (3, 1), "attr": attr}], "last": False},
+    ]
+    t = Tree()
+    fold.from_snapshot(t, records)
+    fold.from_snapshot(t, records)
+    assert {k: n.links for k, n in t.nodes.items()} == {ROOT: 0, (2, 1): 1, (3, 1): 1, (4, 1): 1}
+    assert not t.nodes[2, 1].dir.complete
+    assert t.nodes[3, 1].dir.complete
+
+
+def journal_of(seed: int, n: int) -> tuple[list[dict], dict[str, int]]:
+    """Random operations on a plain tree of paths, as records, and the paths that are left."""
+    rng, model, ids, out = random.Random(seed), {"": ROOT}, 1, []
+    dirs = {""}
+    for _ in range(n):
+        what, d = rng.choice(["mkfile", "mkdir", "content", "remove", "rename"]), rng.choice(sorted(dirs))
+        name = f"n{rng.randrange(12)}"
+        path = f"{d}/{name}"
+        if what in ("mkfile", "mkdir") and path not in model:
+            ids += 1
+            model[path] = (ids, 1)
+            dirs |= {path} if what == "mkdir" else set()
+            out.append(created(ids, name, model[d], "dir" if what == "mkdir" else "file"))
+        elif what == "content" and path in model and path not in dirs:
+            out.append(rec("content", model[path][0], size=rng.randrange(99), version=len(out)))
+        elif what == "remove" and path in model:
+            out.append(rec("removed", parent=model[d], name=name))
+            for p in [p for p in model if p == path or p.startswith(path + "/")]:
+                del model[p]
+                dirs.discard(p)
+        elif what == "rename" and path in model and path not in dirs:
+            to = rng.choice(sorted(dirs))
+            goal = f"{to}/r{rng.randrange(12)}"
+            if goal not in dirs:
+                out.append(rec("renamed", parent=model[d], name=name, to_parent_ino=model[to][0], to_parent_gen=model[to][1], to_name=goal.rsplit("/", 1)[1]))
+                model[goal] = model.pop(path)
+    return out, {p: k[0] for p, k in model.items()}
+
+
+def walk(tree, key=ROOT, path=""):
+    out = {path: key[0]}
+    for n, (_, child, _) in tree.nodes[key].dir.names.items():
+        out |= walk(tree, child, f"{path}/{n}") if tree.nodes[child].dir else {f"{path}/{n}": child[0]}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_random_journal_against_a_plain_model(seed):
+    records, model = journal_of(seed, 300)
+    tree = apply(*records)
+    assert walk(tree) == model
+    assert len(tree.nodes) == len(model)
+
+
+def frame(spark, shares: int):
+    rows = [r | {"share": s, "seq": i + 1} for s in range(shares) for i, r in enumerate(journal_of(s, 120)[0])]
+    columns = [c.strip().split(" ")[0] for c in fold.RECORD.split(",")]
+    return spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], fold.RECORD)
+
+
+def test_spark_fold_equals_the_model(spark):
+    got = fold.fold_shares(frame(spark, 3)).groupBy("share").count().collect()
+    assert {r["share"]: r["count"] for r in got} == {s: len(journal_of(s, 120)[1]) for s in range(3)}
+    assert fold.fold_shares(frame(spark, 3).limit(0)).count() == 0
+
+
+def test_stream_equals_batch_over_a_restart(spark, tmp_path):
+    from driftwood.streaming.fold_stream import fold_stream
+
+    records = frame(spark, 2)
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def run():
+        df = fold_stream(spark.readStream.schema(fold.RECORD).parquet(source), nodes=True)
+        q = df.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/{i}")).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    records.where("seq <= 20").write.parquet(source)
+    run()
+    records.where("seq > 15").write.mode("append").parquet(source)
+    run()
+    cols = ["share", "ino", "gen", "kind", "size", "version", "links"]
+    last = max(int(p.name) for p in (tmp_path / "out").iterdir())
+    got, want = spark.read.parquet(f"{out}/{last}").select(cols), fold.fold_shares(records).select(cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
