@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: The characters that end a word: blank and tab to carriage return.
 SPACES = r"\x20\x09-\x0D"
@@ -29,13 +29,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files that no live frame needs; else they stay until the driver's
+    JVM happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z alone, whatever the locale."""
-    return F.translate(c, UPPER, LOWER)
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def small(df: DataFrame, max_rows: int) -> bool:

@@ -143,7 +143,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", c
     joined = pieces.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("k", "first", "last", "ids"))).alias("p"))
     joined = joined.withColumn("agreed", F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: F.element_at("p", i)["last"].isNotNull() & F.element_at("p", i)["first"].isNotNull() & ((i == F.size("p")) | (F.element_at("p", i)["last"] == F.try_element_at("p", i + 1)["first"]))))
     joined = joined.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.when(F.coalesce("agreed", F.lit(False)), F.flatten(F.transform("p", lambda x: x["ids"]))).alias("ids"))
-    long = long.join(joined, ["__h1", "__h2"], "left")
+    long = long.join(joined.hint("merge"), ["__h1", "__h2"], "left")
     stitched = long.where(F.col("ids").isNotNull()).select(*names, "ids")
     rest = long.where(F.col("ids").isNull()).select(*names, text).mapInArrow(_encode_batches(raw, pattern, text), schema)
     return short.unionByName(stitched).unionByName(rest)

@@ -8,7 +8,7 @@ Jaccard distance, one minus the Jaccard index, is a metric, and two documents li
    travel packed, a row for each batch of documents and range of hashes; a shingle that repeats
    inside a batch is settled there, so a frequent one is sent once a batch at most.
 2. Regions.  Documents with the same set are one item.  Items that link share one of their
-   ``n - ceil(threshold * n) + 1`` least hashes, so each such hash names a region.
+   ``n - ceil(threshold * n) + 1`` rarest hashes, so each such hash names a region.
 3. Pivots.  In each region with items that no pivot holds yet, the first items by hash become
    pivots and the distances of the others to them are computed.  Items within r of a pivot
    fall into its cell and link with it; the rest recur with more pivots, 1, 4, 16 and so on, so
@@ -38,6 +38,10 @@ PERCENT = 75
 #: Lists of up to so many ids are broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 GROUP = 4
+#: So many of the most frequent hashes, at most, are put last in the order of regions.
+FREQUENT = 200_000
+#: The last round comes when pairs inside regions are no more than so many times the items.
+LAST_ROUND = 200
 
 
 def _set_batches(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -148,6 +152,34 @@ def _one_range(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches(parts, schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64())]))
 
 
+def _frequent_batches(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(s) to (token, k): hashes that a batch holds ``least`` times or more."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            token, k = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token[k >= least]), pa.array(k[k >= least])], ["token", "k"])
+
+    return run
+
+
+def _region_batches(frequent, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, n, s) to (id, n, region): the rarest hashes of each item, enough for each link to share one."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, k = frequent.value
+        for batch in found:
+            ids, n = (batch.column(i).to_numpy() for i in (0, 1))
+            flat, end = batch.column(2).flatten().to_numpy(), np.cumsum(n)
+            at = np.minimum(np.searchsorted(token, flat), max(len(token) - 1, 0))
+            often = np.where(token[at] == flat, k[at], 0) if len(token) else np.zeros(len(flat), np.int64)
+            first = n + 1 - -(-n * percent // 100)
+            out = [flat[e - m : e][np.lexsort((flat[e - m : e], often[e - m : e]))[:f]] for e, m, f in zip(end, n, first, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, first)), pa.array(np.repeat(n, first)), pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))], ["id", "n", "region"])
+
+    return run
+
+
 def _distance_batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, sa, sb) to (a, b, shared, whole): sizes of intersection and union."""
     for batch in found:
@@ -227,8 +259,12 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
     items = durable(sets.groupBy(F.col("f1").alias("id")).agg(F.first("n").alias("n"), F.first("s").alias("s")))
     members = sets.select("doc_id", F.col("f1").alias("id"))
     sizes = durable(items.select("id", "n"))
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    open_ = items.select("id", "n", F.explode(F.slice("s", 1, first.cast("int"))).alias("region"))
+    n_items = sizes.count()
+    # Any order that all items share is exact; hashes that many items hold come last in it.
+    often = items.select("s").mapInArrow(_frequent_batches(4), "token bigint, k bigint").groupBy("token").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "token").limit(FREQUENT).collect()
+    often.sort(key=lambda r: r["token"])
+    frequent = live.sparkSession.sparkContext.broadcast(tuple(np.array([r[c] for r in often], np.int64) for c in ("token", "k")))
+    open_ = durable(items.select("id", "n", "s").mapInArrow(_region_batches(frequent, percent), "id bigint, n bigint, region bigint"))
     far = 2 * percent - 100  # 100 * (1 - 2r): pairs less alike than this are outside every window
     linked = 100 * F.col("shared") >= percent * F.col("whole")
 
@@ -244,19 +280,38 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
             rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"), "id"))
             pivots = open_.withColumn("rank", rank).where(F.col("rank") <= per_region).select("region", F.col("id").alias("p"), F.col("n").alias("m"))
         met = durable(open_.join(pivots, "region").select("region", "id", "n", "p", "m"))
+        if per_region == 1:
+            held = durable(met.groupBy("id").agg(F.count("*").alias("regions")))
         pairs = met.where(F.col("id") != F.col("p")).where(alike("n", "m", far)).select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
-        fresh = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = pairs if tested is None else pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         near = _distances(fresh, items).where(100 * F.col("shared") >= far * F.col("whole"))
         tested = durable(near if tested is None else tested.unionByName(near))
         links = tested.where(linked).select("a", "b")
         # Items that are a pivot of the region, or in the cell of one, are done there.
         cell = links.select(F.col("a").alias("id"), F.col("b").alias("p"), F.lit(True).alias("hit"))
         done = F.max((F.col("id") == F.col("p")) | F.coalesce("hit", F.lit(False)))
-        left = durable(met.join(cell, ["id", "p"], "left").groupBy("region", "id", "n").agg(done.alias("done")).where("not done").select("region", "id", "n"))
-        open_ = durable(left.join(left.groupBy("region").count().where("count > 1").select("region"), "region", "left_semi"))
-        if open_.isEmpty():
+        left = durable(met.join(cell.hint("merge"), ["id", "p"], "left").groupBy("region", "id", "n").agg(done.alias("done")).where("not done").select("region", "id", "n"))
+        many = left.groupBy("region").count().where("count > 1")
+        sizes_left = many.agg(F.max("count").alias("most"), F.sum(F.col("count") * F.col("count")).alias("pairs")).first()
+        if sizes_left["most"] is None:
             break
-        per_region *= GROUP
+        open_ = left.join(many.select("region"), "region", "left_semi")
+        if sizes_left["pairs"] > LAST_ROUND * n_items:
+            per_region *= GROUP
+            continue
+        # The last round: what is left meets in full.  Of two items that link, the one whose rarest
+        # hashes end first has all but what the link lets it miss of them in the other's; those in
+        # regions where one of the two is done are not seen here and count as shared.
+        one, two = (open_.select("region", F.col("id").alias(i), F.col("n").alias(n)) for i, n in (("a", "n"), ("b", "m")))
+        rare = lambda n: F.col(n) + 1 - F.ceil(F.col(n) * percent / 100)
+        miss = lambda n, m: (100 * F.col(n) - percent * F.col(m)) / (100 + percent)
+        least = F.least(rare("n") - miss("n", "m"), rare("m") - miss("m", "n"))
+        unseen = durable(held.join(open_.groupBy("id").agg(F.count("*").alias("k")), "id").select("id", (F.col("regions") - F.col("k")).alias("u")))
+        met = one.join(two, "region").where("a < b").where(alike("n", "m", percent)).groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"))
+        met = met.join(unseen.select(F.col("id").alias("a"), F.col("u").alias("ua")), "a").join(unseen.select(F.col("id").alias("b"), F.col("u").alias("ub")), "b").where(F.col("k") + F.col("ua") + F.col("ub") >= least - 1e-9)
+        last = _distances(met.select("a", "b"), items).where(linked)
+        links = durable(links.unionByName(last.select("a", "b")))
+        break
     # Step 4: windows around the cells, where components still differ.
     comp = durable(connected_components(links))
     label = durable(sizes.join(comp, "id", "left").select("id", "n", F.coalesce("component", "id").alias("c")))

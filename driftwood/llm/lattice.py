@@ -133,7 +133,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     comp = connected_components(links)
     told = classes.select("h1", "h2", "rep", "copies").join(degree, "rep", "left").join(comp, F.col("rep") == F.col("id"), "left").select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     keyed = rows.select("vec_id", F.when(usable(F.col("v")) & F.col("vec_id").isNotNull(), F.xxhash64("v")).alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
-    out = keyed.join(told, ["h1", "h2"], "left")
+    out = keyed.join(told.hint("merge"), ["h1", "h2"], "left")
     comp_id = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))
 

@@ -9,9 +9,9 @@ length and the positional filter, and what is left is verified exactly.  Lines w
 one class.  Each token's classes first meet that of its earliest document, which settles groups of
 near copies by a star; only classes that this leaves unsettled meet all earlier ones.
 
-Rarity is held in a sketch of fixed size: ``CELLS`` counters over all shingles, whose level (0 for
-rare to 3 for frequent) leads the token.  Any order shared by all lines is exact;
-this one puts frequent shingles last.
+A shingle is as rare as its first word.  Words are counted over the whole corpus in a sketch of
+fixed size, ``CELLS`` counters, whose level (0 for rare to 3 for frequent) leads the token.  Any
+order that all lines share is exact; this one puts frequent beginnings last.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, small, table
-from .shingle_sql import shingle_hashes, words
+from ._common import durable, release, small, table
+from .shingle_sql import BLANKS, map_shingles, words
 
 PERCENT = 75
 CELLS = 1 << 16
@@ -39,10 +39,10 @@ def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
 
 
-def rarity(lines: DataFrame, k: int) -> Column:
-    """A literal array of CELLS / 32 numbers that hold a level of two bits for each cell."""
-    counts = lines.select(F.explode(shingle_hashes(words(F.col("line")), k)).alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).cast("int").alias("cell")).count()
-    found = {r["cell"]: r["count"] for r in counts.collect()}  # CELLS rows at most
+def rarity(lines: DataFrame) -> Column:
+    """A literal array of CELLS / 32 numbers that hold a level of two bits for each cell of words."""
+    word = lines.select(F.explode(words(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(CELLS - 1).cast("int").alias("cell"))
+    found = {r["cell"]: r["count"] for r in word.groupBy("cell").count().collect()}  # CELLS rows at most
     mean = max(1.0, sum(found.values()) / CELLS)
     packed = [0] * (CELLS // 32)
     for cell, count in found.items():
@@ -51,11 +51,11 @@ def rarity(lines: DataFrame, k: int) -> Column:
 
 
 def tokens(line: Column, levels: Column, k: int) -> Column:
-    """Distinct tokens, rarest first: the level in the high bits, 60 bits of the hash below."""
+    """Distinct tokens, rarest first: the level in the high bits, 60 bits of the shingle's hash below."""
     cell = lambda x: x.bitwiseAND(CELLS - 1).cast("int")
     level = lambda x: F.call_function("shiftrightunsigned", F.get(levels, F.shiftright(cell(x), 5)), cell(x).bitwiseAND(31) * 2).bitwiseAND(3)
-    token = lambda x: F.shiftleft(level(x), 60).bitwiseOR(F.shiftrightunsigned(x, 4))
-    return F.sort_array(F.array_distinct(F.transform(shingle_hashes(words(line), k), token)))
+    token = lambda first, x: F.shiftleft(level(first), 60).bitwiseOR(F.shiftrightunsigned(x, 4))
+    return F.sort_array(F.array_distinct(map_shingles(words(line), token, k)))
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
@@ -65,17 +65,21 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "do
     one document, whose lines with the same number and set are no earlier than each other.
     """
     lines = split_lines(docs, doc_id, text)
-    levels = rarity(lines, k)
+    levels = rarity(lines)
     t = F.col("t")
     n = F.size(t)
     prefix = F.slice(t, 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
-    base = lines.select("doc_id", "line_no", tokens(F.col("line"), levels, k).alias("t")).where(n > 0)
+    # Blank lines go first: a filter on the tokens would make them twice.
+    base = lines.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "line_no", tokens(F.col("line"), levels, k).alias("t"))
     base = durable(base.select("doc_id", "line_no", n.alias("n"), F.xxhash64("t").alias("cls"), prefix.alias("prefix")))
     first = durable(base.groupBy("cls").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.count("*").alias("k")))
 
     postings = base.select("cls", "n", "doc_id", F.posexplode("prefix").alias("pos", "token"))
     met = postings.groupBy("token").agg(F.min("doc_id").alias("d"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token", "d")
+    met = durable(met)
+    release(docs.sparkSession)
     hot = durable(postings.join(met, "token").groupBy("token", "cls", "n", "pos", "d").agg(F.min("doc_id").alias("doc")))
+    release(docs.sparkSession)
 
     def overlap(n, m):
         """The least intersection of two sets of n and m tokens that match."""
@@ -92,9 +96,9 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "do
         need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         where = durable(need.join(first, "cls").select("cls", "n", "at.doc_id", "at.line_no"))
         own = docs.join(_side(where.select("doc_id").distinct().withColumnRenamed("doc_id", "__d")), F.col(doc_id) == F.col("__d"), "left_semi")
-        held = split_lines(own, doc_id, text).join(_side(where), ["doc_id", "line_no"]).select("cls", "doc_id", "line_no", "n", tokens(F.col("line"), levels, k).alias("t"))
+        held = split_lines(own, doc_id, text).join(where.hint("merge"), ["doc_id", "line_no"]).select("cls", "doc_id", "line_no", "n", tokens(F.col("line"), levels, k).alias("t"))
         # Rows that share an id can bring another line of the number; the class tells them apart.
-        held = durable(held.where(F.xxhash64("t") == F.col("cls")).dropDuplicates(["cls"]))
+        held = durable(held).where(F.xxhash64("t") == F.col("cls")).dropDuplicates(["cls"])
         one = held.select(F.col("cls").alias("a"), F.col("t").alias("ta"), F.struct("doc_id", "line_no").alias("pa"))
         two = held.select(F.col("cls").alias("b"), F.col("t").alias("tb"), F.struct("doc_id", "line_no").alias("pb"))
         both = pairs.join(one, "a").join(two, "b").withColumn("s", F.size(F.array_intersect("ta", "tb")))
@@ -109,7 +113,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "do
     # Classes that nothing has removed meet all earlier ones of their tokens.
     unsettled = hot.join(_side(gone), "cls", "left_anti").where("doc > d")
     earlier = hot.select("token", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("doc").alias("e"))
-    rest = filtered(unsettled.join(earlier, "token").where("cls <> other and e <= doc")).join(tried, ["a", "b"], "left_anti")
+    rest = filtered(unsettled.join(earlier, "token").where("cls <> other and e <= doc")).join(tried.hint("merge"), ["a", "b"], "left_anti")
     late = verified(rest).select(F.col("b").alias("cls"))
     removed = gone.unionByName(late).distinct().withColumn("removed", F.lit(True))
     # Whole classes that go, and the later lines of the others.
