@@ -26,12 +26,19 @@ def durable(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftwood-"))
-    return df.checkpoint(eager=True)
+    # A checkpoint keeps the constraints that were inferred for its plan; over a chain of them, with
+    # the aliases of each step, they would grow until the driver is busy with nothing else.
+    infer = spark.conf.get("spark.sql.constraintPropagation.enabled")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.constraintPropagation.enabled", infer)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files that no live frame needs; else they stay until the driver's
-    JVM happens to collect garbage."""
+    JVM happens to collect garbage.  Those of the last query can stay until the next one has run."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
