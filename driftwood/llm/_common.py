@@ -26,14 +26,11 @@ def durable(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftwood-"))
-    # A checkpoint keeps the constraints that were inferred for its plan; over a chain of them, with
-    # the aliases of each step, they would grow until the driver is busy with nothing else.
-    infer = spark.conf.get("spark.sql.constraintPropagation.enabled")
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.constraintPropagation.enabled", infer)
+    cut = df.checkpoint(eager=True)
+    # A checkpointed frame keeps the size that was estimated for its plan.  Over a chain of joins the
+    # estimates multiply to numbers of millions of digits, so the rows get a plan without one.
+    jdf = cut._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
 
 
 def release(spark: SparkSession) -> None:
