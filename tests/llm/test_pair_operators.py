@@ -140,6 +140,39 @@ def test_passages_that_repeat_and_those_that_dont(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_with_edits_against_all_diagonals(spark):
+    """Pairs with 50 words or more from an equal word to another, 0.8 of them equal, wherever the changed ones stand."""
+    rng = random.Random(11)
+    many = [f"v{i}" for i in range(20_000)]
+    texts = []
+    for n in (50, 60, 100):
+        for identity in (0.8, 0.82, 0.86, 0.88, 0.9, 0.92, 0.95):
+            for even in (True, True, False, False):
+                shared, edits = rng.choices(many, k=n), int(n * (1 - identity) + 1e-9)
+                changed = list(shared)
+                for j in [int((j + 0.5) * n / edits) for j in range(edits)] if even else rng.sample(range(n), edits):
+                    changed[j] = f"other{rng.random()}"
+                texts += [[*rng.choices(many, k=40), *shared, *rng.choices(many, k=30)], [*rng.choices(many, k=20), *changed, *rng.choices(many, k=50)]]
+    want = set()
+    for d, u in enumerate(texts):
+        for r, v in enumerate(texts[:d]):
+            for off in range(50 - len(u), len(v) - 49):
+                lo = max(0, -off)
+                a = u[lo : len(v) - off]
+                if len(a) >= 50 and len(set(a) & set(v[lo + off :])) >= 40:
+                    at = np.flatnonzero([p == q for p, q in zip(a, v[lo + off :])])
+                    long, equal = at - at[:, None] + 1, np.arange(len(at)) - np.arange(len(at))[:, None] + 1
+                    if ((long >= 50) & (equal >= 0.8 * long)).any():
+                        want.add((d, r))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = passages.repeated_passages(df).collect()
+    assert len(want) >= 80
+    assert want == {(r["doc_id"], r["ref_id"]) for r in got}
+    for r in got:
+        assert min(r["end"] - r["start"], r["ref_end"] - r["ref_start"]) >= 50
+        assert r["identity"] >= 0.8
+
+
 def test_chains_against_all_chains():
     rng = random.Random(7)
     for _ in range(200):
