@@ -173,6 +173,21 @@ def test_passages_with_edits_against_all_diagonals(spark):
         assert r["identity"] >= 0.8
 
 
+def test_passages_whose_seeds_earlier_documents_have_in_parts(spark):
+    rng = random.Random(12)
+    many = [f"v{i}" for i in range(20_000)]
+    make = lambda n: rng.choices(many, k=n)
+    p, q = make(60), make(60)
+    texts = [
+        make(40) + p[:30] + make(40), make(40) + p[30:] + make(40), make(30) + p + make(30), make(20) + p + make(40),
+        # The earliest document has the seeds in pieces first and the passage later.
+        make(20) + q[30:45] + make(9) + q[45:] + make(9) + q[:15] + make(9) + q[15:30] + make(70) + q + make(20), make(25) + q + make(25),
+    ]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["ref_id"], r["start"], r["end"], r["ref_start"]) for r in passages.repeated_passages(df).collect()}
+    assert got == {(3, 2, 20, 80, 30), (5, 4, 25, 85, 177)}
+
+
 def test_chains_against_all_chains():
     rng = random.Random(7)
     for _ in range(200):
