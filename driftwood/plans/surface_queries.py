@@ -232,3 +232,11 @@ def candidate_union(spark, sf_dir):
     o = fixtures.read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select((F.col("o_custkey") % 97).alias("ip"), F.col("o_orderkey").alias("no"))
     s = fixtures.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 120).alias("ip"), F.col("s_suppkey").alias("no"))
     return discovery.candidates([o, s])
+
+
+@query("""WITH u AS (SELECT o_custkey % 97 AS ip, 0 AS source, o_orderkey AS no FROM orders UNION ALL SELECT s_suppkey % 120, 1, s_suppkey FROM supplier), b AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY source, no) AS rn FROM u) SELECT ip, source, no FROM b WHERE rn = 1""")
+def candidate_union_all(spark, sf_dir):
+    """Candidates of all orders."""
+    o = fixtures.read(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).alias("ip"), F.col("o_orderkey").alias("no"))
+    s = fixtures.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 120).alias("ip"), F.col("s_suppkey").alias("no"))
+    return discovery.candidates([o, s])

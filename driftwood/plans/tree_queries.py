@@ -71,6 +71,14 @@ def path_of(spark, sf_dir):
     return tree.path_of(t, asked, ROOT)
 
 
+@query(f"{PATHS_SQL} SELECT ino, path FROM paths UNION ALL SELECT r_regionkey + 7, NULL FROM region")
+def path_of_all(spark, sf_dir):
+    """Every node of the whole tree, and ids that nothing holds."""
+    t = _tree(spark, sf_dir)
+    asked = t.select("ino").unionByName(spark.range(ROOT, ROOT + 1).withColumnRenamed("id", "ino")).unionByName(fixtures.read(spark, sf_dir, "region").select((F.col("r_regionkey") + 7).cast("bigint").alias("ino")))
+    return tree.path_of(t, asked, ROOT)
+
+
 @query(f"""{PATHS_SQL},
 asked AS (SELECT DISTINCT unnest([CASE WHEN c_custkey % 4 = 0 THEN '/' || r_name || '//' || n_name || '/' || c_name ELSE '/' || r_name || '/' || n_name || '/' || c_name || 'x' END, '/' || r_name || '/../' || n_name, '/' || n_name, '/' || r_name || '/' || n_name || '/' || s_name || '/deep']) AS path
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE c_custkey % 10 = 0),
@@ -86,6 +94,28 @@ def resolve_path(spark, sf_dir):
     return tree.resolve(tree.paths(_tree(spark, sf_dir), ROOT), asked)
 
 
+@query(f"""{PATHS_SQL},
+asked AS (SELECT DISTINCT unnest([path, '/' || path, path || 'x', path || '/deep', path || '/../a']) AS path FROM paths WHERE ino >= {3 * LEVEL}),
+clean AS (SELECT path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM asked),
+hit AS (SELECT c.path, p.ino, list_contains(parts, '..') OR list_contains(parts, '.') AS bad FROM clean c LEFT JOIN paths p ON p.path = '/' || array_to_string(parts, '/')),
+under AS (SELECT DISTINCT path FROM (SELECT path, '/' || array_to_string(parts[:n], '/') AS prefix FROM clean, range(1, 9) r(n) WHERE n <= len(parts)) x WHERE prefix IN (SELECT path FROM paths WHERE kind <> 'dir'))
+SELECT hit.path, CASE WHEN NOT bad THEN ino END AS ino, CASE WHEN bad THEN 'badpath' WHEN ino IS NOT NULL THEN 'ok' WHEN under.path IS NOT NULL THEN 'notdir' ELSE 'noent' END AS status
+FROM hit LEFT JOIN under ON under.path = hit.path""")
+def resolve_path_all(spark, sf_dir):
+    """The path of every customer, supplier, order and line, from the tables, with misses beside each."""
+    read = lambda n: fixtures.read(spark, sf_dir, n)
+    nation = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws("/", F.lit(""), "r_name", "n_name").alias("n_path"))
+    held = lambda t, on, name: t.join(nation, F.col(on) == F.col("n_nationkey")).select(t.columns[0], F.concat_ws("/", "n_path", name).alias("path"))
+    customer = held(read("customer").select("c_custkey", "c_nationkey", "c_name"), "c_nationkey", "c_name")
+    supplier = held(read("supplier").select("s_suppkey", "s_nationkey", "s_name"), "s_nationkey", "s_name")
+    order = read("orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.concat_ws("/", "path", F.col("o_orderkey").cast("string")).alias("path"))
+    line = read("lineitem").join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("/", "path", F.col("l_linenumber").cast("string")).alias("path"))
+    p = F.col("path")
+    known = customer.select("path").unionByName(supplier.select("path")).unionByName(order.select("path")).unionByName(line)
+    asked = known.select(F.explode(F.array(p, F.concat(F.lit("/"), p), *(F.concat(p, F.lit(x)) for x in ("x", "/deep", "/../a")))).alias("path"))
+    return tree.resolve(tree.paths(_tree(spark, sf_dir), ROOT), asked)
+
+
 @query(f"{PATHS_SQL} SELECT ino, path FROM paths WHERE path = '/ASIA/NATION_12' OR starts_with(path, '/ASIA/NATION_12/')")
 def subtree_of(spark, sf_dir):
     return tree.subtree(tree.paths(_tree(spark, sf_dir), ROOT), "/ASIA/NATION_12").select("ino", "path")
@@ -106,7 +136,18 @@ dead AS (SELECT ino FROM upper WHERE parent_ino = {2 * LEVEL + 3} OR ino = {LEVE
 SELECT kind, count(*) AS entries, count(DISTINCT parent_ino) AS parents FROM upper WHERE ino NOT IN (SELECT ino FROM dead) GROUP BY kind""")
 def subtree_gc(spark, sf_dir):
     """One region and all of a nation's entries are removed; what hung below goes too."""
-    t = _tree(spark, sf_dir).where(f"ino < {5 * LEVEL} OR ino >= {6 * LEVEL}")
+    return _collected(_tree(spark, sf_dir).where(f"ino < {5 * LEVEL} OR ino >= {6 * LEVEL}"))
+
+
+@query(f"""WITH RECURSIVE {SNAPSHOT_SQL},
+dead AS (SELECT ino FROM tree WHERE parent_ino = {2 * LEVEL + 3} OR ino = {LEVEL + 1} UNION SELECT t.ino FROM tree t JOIN dead d ON t.parent_ino = d.ino)
+SELECT kind, count(*) AS entries, count(DISTINCT parent_ino) AS parents FROM tree WHERE ino NOT IN (SELECT ino FROM dead) GROUP BY kind""")
+def subtree_gc_all(spark, sf_dir):
+    """The same removal from the whole tree, lines included."""
+    return _collected(_tree(spark, sf_dir))
+
+
+def _collected(t):
     removed = t.where((F.col("parent_ino") == 2 * LEVEL + 3) | (F.col("ino") == LEVEL + 1)).select("parent_ino", "name")
     return tree.collect_garbage(t, removed).groupBy("kind").agg(F.count("*").alias("entries"), F.countDistinct("parent_ino").alias("parents"))
 
