@@ -8,8 +8,12 @@ allowed, else block if some member is blocked, else allow.
 
 from __future__ import annotations
 
+import html as entities
+from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +61,32 @@ def rule_of(h: Column, p: Column, rules: tuple[Rule, ...]) -> tuple[Column, Colu
     return name, verdict
 
 
+def _resolve_batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, base, target) as written to (source, target): entities undone, relative addresses joined
+    to the base or the source.  Links that stay without ``://`` name no one page and are left out."""
+    for batch in found:
+        rows = []
+        for source, base, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            try:
+                to = urljoin(urljoin(source, entities.unescape(base or "").strip()), entities.unescape(target).strip())
+            except ValueError:
+                continue
+            if "://" in to:
+                rows.append((source, to))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], ["source", "target"])
+
+
 def alias_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) addresses: canonical links and refresh redirects found in the HTML."""
+    """(source, target) addresses: canonical links and refresh redirects found in the HTML, resolved
+    against the page's ``<base>`` or url."""
     tag = F.col("t")
-    tags = pages.select(F.col(url).alias("source"), F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("t"))
+    base = F.regexp_extract(html, r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'>]*)", 1)
+    tags = pages.select(F.col(url).alias("source"), base.alias("base"), F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("t"))
     attr = lambda name: F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'>]*)", 1)
     canonical = F.when(tag.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), attr("href"))
     refresh = F.when(tag.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract(attr("content"), r"(?is)url\s*=\s*'?([^'\s]+)", 1))
-    return tags.select("source", F.trim(F.coalesce(canonical, refresh)).alias("target")).where((F.col("target") != "") & F.col("source").isNotNull())
+    written = tags.select("source", "base", F.trim(F.coalesce(canonical, refresh)).alias("target")).where((F.col("target") != "") & F.col("source").isNotNull())
+    return written.mapInArrow(_resolve_batches, "source string, target string")
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...], redirects: DataFrame | None = None, *, url: str = "url", html: str | None = "html") -> DataFrame:

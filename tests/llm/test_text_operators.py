@@ -194,3 +194,18 @@ def test_digests_of_the_query(spark, tmp_path, name):
         t = texts[r["doc_id"]] or ""
         want = " ".join(map(str, enc.encode_ordinary(t))) if name == "ids_sha256" else t
         assert r[name] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_relative_and_escaped_aliases(spark):
+    link = lambda href: f'<link rel="canonical" href="{href}">'
+    rules = (urls.Rule("block", "one.org", "/a"), urls.Rule("block", "two.org", "/q"), urls.Rule("block", "cdn.org", "/b/x"))
+    rows = [
+        (1, "http://one.org/x", link("/a")), (2, "http://two.org/x", link("/a")),
+        (3, "https://three.org/", link("//one.org/a")), (4, "http://two.org/y", '<meta http-equiv="refresh" content="0; url=q?s=1&amp;t=2">'), (5, "http://two.org/z", link("http://two.org/q?s=1&#38;t=2")),
+        (6, "http://six.org/", '<base href="http://cdn.org/b/">' + link("x")), (7, "plain", link("/a")), (8, "http://[", link("/a")),
+    ]
+    got = {r["page_id"]: (r["verdict"], r["alias_class"]) for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string, html string"), rules).collect()}
+    assert {i for i, (v, _) in got.items() if v == "block"} == {1, 4, 5, 6, 3}
+    assert got[1][1] != got[2][1]
+    assert got[4][1] == got[5][1]
+    assert got[7][1] is None
