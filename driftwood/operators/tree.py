@@ -43,7 +43,8 @@ def paths(tree: DataFrame, root: int = 1, max_depth: int = MAX_DEPTH) -> DataFra
     """(ino, path, depth, kind, size, parent_ino) of all that the root reaches, itself included.
 
     A level at a time: each join goes down one level, so rows are made once and the number of jobs
-    is the depth.  The frontier is cut through the checkpoint folder every few levels.
+    is the depth.  The frontier is cut through the checkpoint folder every few levels.  A tree that goes
+    on below max_depth, or has a cycle, is an error: a part of it is no answer.
     """
     spark = tree.sparkSession
     edges = tree.select(F.col("parent_ino").alias("__p"), F.col("ino").alias("i"), F.col("name").alias("n"), F.col("kind").alias("k"), F.col("size").alias("s"))
@@ -55,8 +56,10 @@ def paths(tree: DataFrame, root: int = 1, max_depth: int = MAX_DEPTH) -> DataFra
         )
         level = durable(level)
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
+    if not level.where("kind = 'dir'").join(edges, F.col("ino") == F.col("__p")).isEmpty():
+        raise RuntimeError(f"the tree goes on below {max_depth} levels")
     return out
 
 
@@ -101,22 +104,22 @@ def subtree(all_paths: DataFrame, prefix: str) -> DataFrame:
     return all_paths.where((F.col("path") == prefix) | F.col("path").startswith(prefix.rstrip("/") + "/"))
 
 
-def collect_garbage(tree: DataFrame, removed: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def collect_garbage(tree: DataFrame, removed: DataFrame) -> DataFrame:
     """The entries that are left after the entries ``removed`` (parent_ino, name) go.
 
     A node goes when all its entries are gone, and then its own entries go; hard links keep it.
+    Each round takes entries away or is the last.
     """
     gone = tree.join(removed.select("parent_ino", "name").distinct(), ["parent_ino", "name"], "left_semi").select("parent_ino", "name", "ino", "kind")
     left = durable(tree.join(removed.select("parent_ino", "name").distinct(), ["parent_ino", "name"], "left_anti"))
     hit = durable(gone.select("ino").distinct())
-    for _ in range(max_depth):
+    while True:
         dead = hit.join(left.select("ino"), "ino", "left_anti")
         next_ = durable(left.join(dead.select(F.col("ino").alias("parent_ino")), "parent_ino", "left_semi"))
         if next_.isEmpty():
             return left
         left = durable(left.join(dead.select(F.col("ino").alias("parent_ino")), "parent_ino", "left_anti"))
         hit = durable(next_.select("ino").distinct())
-    return left
 
 
 def listing(all_paths: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftwood.functions import scalars
-from driftwood.operators import cas, conflict, journal, overlay
+from driftwood.operators import cas, conflict, journal, overlay, tree
 from driftwood.sources import discovery
 
 
@@ -73,3 +74,19 @@ def test_walker(spark, tmp_path):
     rows = spark.read.format("tree_walk").option("path", str(tmp_path)).load().collect()
     assert sorted((r["name"], r["kind"]) for r in rows) == [("README", "file"), ("deep.txt", "file"), ("empty", "dir"), ("link", "symlink"), ("src", "dir"), ("sub", "dir")]
     assert next(r["target"] for r in rows if r["name"] == "link") == "README"
+
+
+def chain(spark, n):
+    return spark.createDataFrame([(i, f"d{i}", i + 1, "dir", 0) for i in range(1, n + 1)], "parent_ino bigint, name string, ino bigint, kind string, size bigint").coalesce(1)
+
+
+def test_paths_of_a_deeper_tree_are_an_error(spark):
+    assert tree.paths(chain(spark, 4), max_depth=4).count() == 5
+    with pytest.raises(RuntimeError, match="below 3 levels"):
+        tree.paths(chain(spark, 4), max_depth=3)
+
+
+def test_garbage_below_any_depth_goes(spark, monkeypatch):
+    monkeypatch.setattr(tree, "range", lambda *_: [0, 1], raising=False)  # a bound on rounds would be two
+    t = chain(spark, 6)
+    assert tree.collect_garbage(t, t.where("parent_ino = 1").select("parent_ino", "name")).count() == 0
