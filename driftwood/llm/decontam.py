@@ -7,11 +7,17 @@ of their shingles (powers of two).  An item whose shingles lie in a document to
 hashes are the item's MinHash signature: searching the documents for signature hashes loses no
 item, and how many hashes an item needs depends on its partition alone, not on the length of the
 documents.  Candidates are verified by exact containment of the shingles themselves.
+
+An item of fewer words than a shingle is its whole sequence, which by the query's SQL only a document
+of just these words has.  With ``short_anywhere`` documents have shingles of the lengths of such items
+too, so these are found wherever they stand.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import durable, small, table
@@ -34,20 +40,34 @@ def signatures(items: DataFrame, threshold: float = THRESHOLD, *, item_id: str =
     return s.select("item_id", "part", F.explode(F.slice("h", 1, m)).alias("hash"))
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", k: int = 5) -> DataFrame:
+def _short_lengths(items: DataFrame, item_id: str, text: str, k: int) -> list[int]:
+    """The numbers of words below k that items have."""
+    n = items.where(F.col(item_id).isNotNull()).select(F.size(words(F.col(text))).alias("n"))
+    return sorted(r["n"] for r in n.where((F.col("n") > 0) & (F.col("n") < k)).distinct().collect())
+
+
+def _also(make: Callable[[Column, int], Column], text: Column, k: int, short: list[int]) -> Column:
+    """The k-word shingles that ``make`` finds in a text and those of the lengths ``short``."""
+    return F.array_distinct(F.concat(*(make(words(text), n) for n in [k, *short]))) if short else make(words(text), k)
+
+
+def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", k: int = 5, short_anywhere: bool = False) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of the pairs at or over the threshold.
 
-    Containment is the share of the item's distinct k-word shingles that the document has.  Rows
+    Containment is the share of the item's distinct k-word shingles that the document has; an item of
+    fewer than k words has one, its whole sequence, which is found in longer documents only with
+    ``short_anywhere``.  Rows
     without id, and texts without words, are in no pair; of rows with the same pair of ids the one
     with the largest containment counts.  No items or no documents: no rows.
     """
     keyed = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sign = durable(signatures(items, threshold, item_id=item_id, text=text, k=k))
-    found = keyed.select("doc_id", F.explode(shingle_hashes(words(F.col("text")), k)).alias("hash")).join(_hint(sign.select("hash", "item_id").distinct()), "hash")
+    short = _short_lengths(items, item_id, text, k) if short_anywhere else []
+    found = keyed.select("doc_id", F.explode(_also(shingle_hashes, F.col("text"), k, short)).alias("hash")).join(_hint(sign.select("hash", "item_id").distinct()), "hash")
     pairs = durable(found.select("doc_id", "item_id").distinct())
     # Only candidates' texts are read again.
     item_sets = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), shingle_strings(words(F.col(text)), k).alias("s"))
-    own = keyed.join(_hint(pairs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", shingle_strings(words(F.col("text")), k).alias("d"))
+    own = keyed.join(_hint(pairs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", _also(shingle_strings, F.col("text"), k, short).alias("d"))
     both = own.join(_hint(pairs), "doc_id").join(_hint(item_sets) if small(items, 20_000) else item_sets, "item_id")
     shared = F.size(F.array_intersect("s", "d"))
     out = both.select("doc_id", "item_id", F.size("s").cast("bigint").alias("n_item"), shared.cast("bigint").alias("n_shared"))
@@ -56,9 +76,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, *
     return best.select("doc_id", "item_id", "x.n_item", "x.n_shared", (F.col("x.n_shared") / F.col("x.n_item")).alias("containment"))
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, *, doc_id: str = "doc_id") -> DataFrame:
+def remove_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, *, doc_id: str = "doc_id", short_anywhere: bool = False) -> DataFrame:
     """``docs`` without those that hold an item; rows without id stay."""
-    bad = contained(docs, items, threshold, doc_id=doc_id).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = contained(docs, items, threshold, doc_id=doc_id, short_anywhere=short_anywhere).select(F.col("doc_id").alias("__bad")).distinct()
     bad = durable(bad)
     return docs.join(_hint(bad), F.col(doc_id) == F.col("__bad"), "left_anti")
 

@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), short_anywhere=True).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -209,3 +209,11 @@ def test_relative_and_escaped_aliases(spark):
     assert got[1][1] != got[2][1]
     assert got[4][1] == got[5][1]
     assert got[7][1] is None
+
+
+def test_short_items_inside_long_documents(spark):
+    texts = ["a b c d e f g h", "x Secret y z w v", "secret", "c d", "d c b a e f g", "b c", None, "c  D e"]
+    items = spark.createDataFrame([(0, "c d"), (1, "Secret"), (2, "c d e"), (3, "b c d e f"), (4, ""), (5, None), (6, "e f g h")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in decontam.contained(docs(spark, texts), items, short_anywhere=True).collect()}
+    assert got == {(d, i, 1, 1) for d, i in ((0, 0), (0, 2), (0, 3), (0, 6), (1, 1), (2, 1), (3, 0), (7, 0), (7, 2))}
+    assert {r["doc_id"] for r in decontam.remove_contaminated(docs(spark, texts), items, short_anywhere=True).collect()} == {4, 5, 6}
