@@ -3,20 +3,26 @@
 A line's set is its distinct 5-word shingles (one to four words: the whole sequence).  A line goes
 if an earlier line, by document and place, has a Jaccard index of ``percent`` or more with it.
 
-Method: tokens are ordered by rarity, from counts over the whole corpus; lines that can match share
-one of their ``n - ceil(t * n) + 1`` rarest tokens (prefix filter), pairs that meet there pass the
-length and the positional filter, and what is left is verified exactly.  Lines with equal sets are
-one class.  Each token's classes first meet that of its earliest document, which settles groups of
-near copies by a star; only classes that this leaves unsettled meet all earlier ones.
+Method.  Later copies of a line, equal to the character, go at once and take no part in the join.
+Tokens are ordered by rarity, from counts over the whole corpus; lines that can match share one of
+their ``n - ceil(t * n) + 1`` rarest tokens (prefix filter).  One shuffle brings the prefixes
+together by token; each line there meets the token's first line, which settles groups of near copies
+by a star.  Lines that no star settles get new prefixes: all their tokens are counted, those of one
+line alone dropped and the others ordered by their true counts.  They meet the earlier lines of these
+tokens; the length filter is part of the join's key (bands of ``1 / t``) and the shorter line needs its
+token among its ``n - ceil(2t / (1 + t) * n) + 1`` rarest.  Pairs pass the length and the positional
+filter, and what is left is verified exactly.
 
 A shingle is as rare as its first word.  Words are counted over the whole corpus in a sketch of
-fixed size, ``CELLS`` counters, whose level (0 for rare to 3 for frequent) leads the token.  Any
+fixed size, ``CELLS`` counters, whose level (0 for rare to 7 for frequent) leads the token.  Any
 order that all lines share is exact; this one puts frequent beginnings last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import durable, release, small, table
@@ -25,9 +31,11 @@ from .shingle_sql import BLANKS, map_shingles, words
 PERCENT = 75
 CELLS = 1 << 16
 #: A cell's level is the number of these multiples of the mean that its count reaches.
-STEPS = (2, 8, 32)
+STEPS = (0.25, 1, 4, 16, 64, 256, 1024)
 #: Lists of up to so many rows of two numbers are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Place of a line and of a token in one number: 23 bits of line number, 20 of size, 20 of position.
+MAX_LINES, MOST = 1 << 23, (1 << 20) - 1
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -39,86 +47,145 @@ def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
 
 
-def rarity(lines: DataFrame) -> Column:
-    """A literal array of CELLS / 32 numbers that hold a level of two bits for each cell of words."""
-    word = lines.select(F.explode(words(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(CELLS - 1).cast("int").alias("cell"))
+def rarity(docs: DataFrame, text: str) -> Column:
+    """A literal array of the CELLS levels of words, each in the high bits of a number."""
+    # Words are counted as written and split plainly: levels order tokens and need no more.
+    word = docs.select(F.explode(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(CELLS - 1).cast("int").alias("cell"))
     found = {r["cell"]: r["count"] for r in word.groupBy("cell").count().collect()}  # CELLS rows at most
     mean = max(1.0, sum(found.values()) / CELLS)
-    packed = [0] * (CELLS // 32)
-    for cell, count in found.items():
-        packed[cell // 32] |= sum(count >= x * mean for x in STEPS) << 2 * (cell % 32)
-    return F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in packed)), ",").cast("array<bigint>")
+    levels = [sum(found.get(cell, 0) >= x * mean for x in STEPS) << 60 for cell in range(CELLS)]
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
 def tokens(line: Column, levels: Column, k: int) -> Column:
     """Distinct tokens, rarest first: the level in the high bits, 60 bits of the shingle's hash below."""
-    cell = lambda x: x.bitwiseAND(CELLS - 1).cast("int")
-    level = lambda x: F.call_function("shiftrightunsigned", F.get(levels, F.shiftright(cell(x), 5)), cell(x).bitwiseAND(31) * 2).bitwiseAND(3)
-    token = lambda first, x: F.shiftleft(level(first), 60).bitwiseOR(F.shiftrightunsigned(x, 4))
+    token = lambda first, x: F.get(levels, first.bitwiseAND(CELLS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(x, 4))
     return F.sort_array(F.array_distinct(map_shingles(words(line), token, k)))
 
 
+def _copies(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, h1) of the lines with words that an earlier one equals to the character; h1 is the line's hash."""
+    hashed = lines.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    twice = durable(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
+    found = durable(hashed.join(_side(twice), ["h1", "h2"]))
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    return found.join(_side(first), ["h1", "h2"]).where(F.struct("doc_id", "line_no") > F.col("at")).select("doc_id", "line_no", "h1").distinct()
+
+
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
     """(doc_id, line_no) of the lines that go.
 
     Lines without words stay, as do the lines of rows without id; rows that share an id count as
-    one document, whose lines with the same number and set are no earlier than each other.
+    one document, whose lines with the same number are no earlier than each other.  A document of
+    over ``MAX_LINES`` lines is an error.
     """
     lines = split_lines(docs, doc_id, text)
-    levels = rarity(lines)
-    t = F.col("t")
-    n = F.size(t)
-    prefix = F.slice(t, 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    levels = rarity(docs, text)
+    copies = durable(_copies(lines))
+    n = F.size("t")
+    prefix = F.slice("t", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     # Blank lines go first: a filter on the tokens would make them twice.
-    base = lines.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "line_no", tokens(F.col("line"), levels, k).alias("t"))
-    base = durable(base.select("doc_id", "line_no", n.alias("n"), F.xxhash64("t").alias("cls"), prefix.alias("prefix")))
-    first = durable(base.groupBy("cls").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.count("*").alias("k")))
-
-    postings = base.select("cls", "n", "doc_id", F.posexplode("prefix").alias("pos", "token"))
-    met = postings.groupBy("token").agg(F.min("doc_id").alias("d"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token", "d")
-    met = durable(met)
-    release(docs.sparkSession)
-    hot = durable(postings.join(met, "token").groupBy("token", "cls", "n", "pos", "d").agg(F.min("doc_id").alias("doc")))
+    base = lines.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"))
+    few = small(copies, BROADCAST_ROWS)
+    if few:
+        base = base.join(F.broadcast(copies), ["doc_id", "line_no", "h1"], "left_anti")
+    base = base.select("doc_id", "line_no", "h1", tokens(F.col("line"), levels, k).alias("t")).select("doc_id", "line_no", "h1", n.alias("n"), prefix.alias("prefix"))
+    if not few:
+        # Prefixes are shuffled rather than texts.
+        base = base.join(copies, ["doc_id", "line_no", "h1"], "left_anti")
+    number = F.when(F.col("line_no") < MAX_LINES, F.col("line_no").cast("bigint")).otherwise(F.raise_error(F.lit("a document has too many lines")))
+    size = F.shiftleft(number, 40).bitwiseOR(F.shiftleft(F.least("n", F.lit(MOST)).cast("bigint"), 20))
+    # Places are made before the array is exploded: what a later projection reads would be made once a row.
+    placed = F.transform("prefix", lambda x, i: F.struct(x.alias("token"), size.bitwiseOR(F.least(i, F.lit(MOST)).cast("bigint")).alias("at")))
+    line_of = lambda c: F.shiftright(c, 40).cast("int")
+    size_of = lambda c: F.shiftright(c, 20).bitwiseAND(MOST).cast("int")
+    pos_of = lambda c: F.col(c).bitwiseAND(MOST).cast("int")
+    postings = base.select(F.col("doc_id").alias("doc"), F.explode(placed).alias("x")).select("x.token", "doc", "x.at")
+    by = Window.partitionBy("token").orderBy("doc", "at")
+    rank = F.row_number().over(by).alias("rank")
+    met = postings.select("token", "doc", "at", rank, F.lead("at").over(by).isNotNull().alias("more"))
+    hot = durable(met.where("rank > 1 or more").select("token", "doc", "at"))
     release(docs.sparkSession)
+    # Of a line's n - ceil(t * n) + 1 rarest tokens those that no other line has are in no partner, so
+    # a partner has ``most`` tokens at most.  Two lines of which neither may have one as large as
+    # itself (tight ones, say with a common passage) can't match.
+    alone = size_of("at") - F.ceil(size_of("at") * percent / 100) + 1 - F.count("*").over(Window.partitionBy("doc", "line"))
+    most = F.floor((size_of("at") - alone) * (100 + percent) / percent).cast("int") - size_of("at")
+    limit = F.when(size_of("at") < MOST, most).otherwise(MOST).alias("most")
+    hot = hot.withColumn("line", line_of("at")).select("token", "doc", "at", limit)
+    hot = durable(hot.select("token", "doc", "at", "most", rank, F.first("doc").over(by).alias("doc0"), F.first("at").over(by).alias("at0"), F.first("most").over(by).alias("most0")))
 
     def overlap(n, m):
         """The least intersection of two sets of n and m tokens that match."""
         return F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent))
 
     def filtered(pairs: DataFrame) -> DataFrame:
+        """(da, la, db, lb) of the pairs (doc, at), (doc0, at0) that pass both filters, the earlier first."""
+        both = pairs.where(((size_of("at0") <= F.col("most")) & (size_of("at") <= F.col("most0"))) | (F.greatest(size_of("at"), size_of("at0")) >= MOST)).select("doc", "doc0", line_of("at").alias("line"), line_of("at0").alias("line0"), size_of("at").alias("n"), size_of("at0").alias("m"), pos_of("at").alias("pos"), pos_of("at0").alias("qos"))
         alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
         placed = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("qos")) + F.least("pos", "qos") >= overlap("n", "m")
-        return pairs.where(alike & placed).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs of classes that match, a the earlier."""
-        pairs = durable(pairs)
-        need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        where = durable(need.join(first, "cls").select("cls", "n", "at.doc_id", "at.line_no"))
-        own = docs.join(_side(where.select("doc_id").distinct().withColumnRenamed("doc_id", "__d")), F.col(doc_id) == F.col("__d"), "left_semi")
-        held = split_lines(own, doc_id, text).join(where.hint("merge"), ["doc_id", "line_no"]).select("cls", "doc_id", "line_no", "n", tokens(F.col("line"), levels, k).alias("t"))
-        # Rows that share an id can bring another line of the number; the class tells them apart.
-        held = durable(held).where(F.xxhash64("t") == F.col("cls")).dropDuplicates(["cls"])
-        one = held.select(F.col("cls").alias("a"), F.col("t").alias("ta"), F.struct("doc_id", "line_no").alias("pa"))
-        two = held.select(F.col("cls").alias("b"), F.col("t").alias("tb"), F.struct("doc_id", "line_no").alias("pb"))
-        both = pairs.join(one, "a").join(two, "b").withColumn("s", F.size(F.array_intersect("ta", "tb")))
+        both = both.where(alike & (placed | (F.greatest("n", "m") >= MOST)))
+        return both.select(F.col("doc0").alias("da"), F.col("line0").alias("la"), F.col("doc").alias("db"), F.col("line").alias("lb")).distinct()
+
+    def held(need: DataFrame) -> DataFrame:
+        """(d, l, t): the tokens of the lines (d, l)."""
+        asked = durable(need.groupBy(F.col("d").alias("__d")).agg(F.collect_set("l").alias("__l")))
+        own = docs.select(F.col(doc_id).alias("__id"), F.split(F.col(text), "\n").alias("__t"))
+        own = own.join(F.broadcast(asked) if small(asked.select(F.explode("__l")), BROADCAST_ROWS) else asked, F.col("__id") == F.col("__d"))
+        found = own.select(F.col("__d").alias("d"), F.explode(F.transform("__l", lambda i: F.struct(i.alias("l"), F.get("__t", i).alias("line")))).alias("x"))
+        found = found.select("d", "x.l", tokens(F.col("x.line"), levels, k).alias("t"))
+        # Rows that share an id bring several lines of one number: any of them may match.
+        return durable(found.distinct() if repeated_ids else found)
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(doc_id, line_no) of the later lines of the pairs that match."""
+        one, two = (sets.select(F.col("d").alias(f"d{s}"), F.col("l").alias(f"l{s}"), F.col("t").alias(f"t{s}")) for s in "ab")
+        both = pairs.join(one, ["da", "la"]).join(two, ["db", "lb"]).withColumn("s", F.size(F.array_intersect("ta", "tb")))
         both = both.where(100 * F.col("s") >= percent * (F.size("ta") + F.size("tb") - F.col("s")))
-        before = F.col("pa") < F.col("pb")
-        return durable(both.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("b")))
-
-    star = hot.where("doc = d").select("token", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("pos").alias("qos"))
-    tried = durable(filtered(hot.join(star, "token").where("cls <> other")))
-    matched = verified(tried)
-    gone = durable(matched.select(F.col("b").alias("cls")).distinct())
-    # Classes that nothing has removed meet all earlier ones of their tokens.
-    unsettled = hot.join(_side(gone), "cls", "left_anti").where("doc > d")
-    earlier = hot.select("token", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("doc").alias("e"))
-    rest = filtered(unsettled.join(earlier, "token").where("cls <> other and e <= doc")).join(tried.hint("merge"), ["a", "b"], "left_anti")
-    late = verified(rest).select(F.col("b").alias("cls"))
-    removed = gone.unionByName(late).distinct().withColumn("removed", F.lit(True))
-    # Whole classes that go, and the later lines of the others.
-    told = first.join(removed, "cls", "left").where("removed or k > 1").select("cls", "at", F.coalesce("removed", F.lit(False)).alias("removed"))
-    return base.select("doc_id", "line_no", "cls").join(told, "cls").where("removed or struct(doc_id, line_no) > at").select("doc_id", "line_no").distinct()
+        return both.select(F.col("db").alias("doc_id"), F.col("lb").alias("line_no")).distinct()
+
+    ends = lambda pairs: pairs.select(F.col("da").alias("d"), F.col("la").alias("l")).unionByName(pairs.select(F.col("db").alias("d"), F.col("lb").alias("l")))
+    repeated_ids = not docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
+    before = (F.col("doc0") < F.col("doc")) | ((F.col("doc0") == F.col("doc")) & (line_of("at0") < line_of("at")))
+    tried = durable(filtered(hot.where("rank > 1").where(before)))
+    gone = durable(verified(tried, held(ends(tried))))
+    release(docs.sparkSession)
+    # Lines that nothing has removed meet the earlier ones of their tokens.
+    line = line_of("at").alias("line")
+    could = (size_of("at") <= F.col("most")).alias("open")
+    left = durable(hot.where("rank > 2").select("token", "doc", "at", line, "rank", could).join(_side(gone.withColumnsRenamed({"doc_id": "doc", "line_no": "line"})), ["doc", "line"], "left_anti"))
+    right = hot.where("rank > 1").select("token", "doc", "at", line, "rank", could)
+    # One of the two has to be open.
+    asks = left.groupBy("token").agg(F.max("rank").alias("last"), F.max("open").alias("asked"))
+    gives = right.groupBy("token").agg(F.max("open").alias("given"))
+    right = durable(right.join(asks, "token").where("rank <= last and (open or asked)").select("token", "doc", "at", "line", "rank"))
+    left = left.join(gives, "token").where("open or given")
+    # All tokens of these lines are counted among themselves now.  Those that one line has alone are in no
+    # partner, so ``most`` is tighter, and prefixes of what is left, by true counts, are short and rare.
+    part = right.select("doc", "line", F.lit(False).alias("asks")).unionByName(left.select("doc", "line", F.lit(True).alias("asks")))
+    part = durable(part.groupBy(F.col("doc").alias("d"), F.col("line").alias("l")).agg(F.max("asks").alias("asks")))
+    sets = held(part.select("d", "l"))
+    need = F.ceil(F.col("n") * percent / 100)
+    count = F.count("*").over(Window.partitionBy("token")).alias("c")
+    seen = sets.select("d", "l", F.explode("t").alias("token")).select("d", "l", count).where("c > 1").groupBy("d", "l").agg(F.count("*").alias("s"))
+    alive = durable(sets.select("d", "l", F.size("t").alias("n")).join(seen, ["d", "l"]).where(F.col("s") >= need).select("d", "l").distinct())
+    release(docs.sparkSession)
+    shared = sets.select("d", "l", F.size("t").alias("n"), "t").join(_side(alive), ["d", "l"]).select("d", "l", "n", F.explode("t").alias("token")).select("d", "l", "n", "token", count).where("c > 1")
+    x = shared.groupBy("d", "l", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("x")).where(F.size("x") >= need)
+    lead = F.slice(F.transform("x", lambda y: y["token"]), 1, (F.size("x") - need + 1).cast("int"))
+    most = (F.floor(F.size("x") * F.lit((100 + percent) / percent) + 1e-9) - F.col("n")).alias("most")
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("int") if percent < 100 else F.col("n")
+    top = F.size("x") - F.ceil(2.0 * F.col("n") * percent / (100 + percent)) + 1
+    rare = x.select("d", "l", "n", most, band.alias("band"), top.alias("top"), lead.alias("lead")).withColumn("open", F.col("n") <= F.col("most"))
+    rare = rare.select("d", "l", "n", "most", "open", "band", F.explode(F.transform("lead", lambda y, i: F.struct(y.alias("token"), (i < F.col("top")).alias("low")))).alias("y")).select("d", "l", "n", "most", "open", "band", "y.token", "y.low")
+    rare = durable(rare)
+    asking = rare.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(_side(part.where("asks").select("d", "l")), ["d", "l"], "left_semi")
+    fits = F.expr("r.n <= l.most AND l.n <= r.most AND CASE WHEN l.n < r.n THEN l.low WHEN l.n > r.n THEN r.low ELSE l.low OR r.low END AND (r.d < l.d OR (r.d = l.d AND r.l < l.l))")
+    on = F.expr("l.token = r.token AND l.band = r.band") & fits & (F.expr(f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"))
+    meet = lambda one, two: asking.where(one).alias("l").join(rare.where(two).alias("r"), on).select(F.col("r.d").alias("da"), F.col("r.l").alias("la"), F.col("l.d").alias("db"), F.col("l.l").alias("lb"))
+    rest = meet(F.col("open"), F.lit(True)).unionByName(meet(~F.col("open"), F.col("open"))).distinct()
+    late = verified(durable(rest.join(tried, ["da", "la", "db", "lb"], "left_anti")), sets)
+    return copies.select("doc_id", "line_no").unionByName(gone).unionByName(late).distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
@@ -127,8 +194,9 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "doc_i
     A null text stays null; one whose lines all go is empty.  Rows without id are unchanged;
     repeated rows and other columns stay; a column ``removed_lines`` is replaced.
     """
-    gone = durable(repeated_lines(docs, percent, doc_id=doc_id, text=text, k=k).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines")))
-    out = docs.drop("removed_lines").join(_side(gone), F.col(doc_id) == F.col("__id"), "left").drop("__id")
+    places = durable(repeated_lines(docs, percent, doc_id=doc_id, text=text, k=k))
+    gone = places.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines"))
+    out = docs.drop("removed_lines").join(F.broadcast(gone) if small(places, BROADCAST_ROWS) else gone, F.col(doc_id) == F.col("__id"), "left").drop("__id")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("removed_lines", i)), "\n")
     return out.withColumns({text: F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(kept), "removed_lines": F.coalesce("removed_lines", F.lit([]).cast("array<int>"))})
 
