@@ -7,9 +7,13 @@ shingles are taken for one with a chance of about 2**-64 a pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _P = np.uint64(0x9E3779B97F4A7C55)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
@@ -40,6 +44,31 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches; at its end the worker, which Spark keeps, gives its free memory back."""
+
+    def tidied(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(found)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # the C library may have no such function
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts in ``column`` have ``most`` bytes together, or one longer text each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        before = int(size[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(size, before + most, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def batches(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, encoded lower-case texts) in batches of bounded size."""
     start, size, out = 0, 0, []

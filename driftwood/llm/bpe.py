@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import table
+from ._hashing import tidy
 
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
 #: Characters or ids that are worked on between two yields.
@@ -67,25 +68,37 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32, copy=False)))
 
 
-def _encode_batches(raw, pattern: str, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Replace column ``text`` by ``ids``; other columns pass."""
+def _encode_batches(raw, pattern: str, text: str, decoded: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replace column ``text`` by ``ids``, and add the bytes they stand for; other columns pass."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(raw.value, pattern)
         for batch in found:
             k = batch.schema.get_field_index(text)
             rest = [i for i in range(batch.num_columns) if i != k]
-            names = [*(batch.schema.names[i] for i in rest), "ids"]
+            names = [*(batch.schema.names[i] for i in rest), "ids", *([decoded] if decoded else [])]
             start, size, out = 0, 0, []
             for i in range(batch.num_rows):
                 t = batch.column(k)[i].as_py() or ""
                 out.append(np.array(enc.encode_ordinary(t), dtype=np.int32))
                 size += len(t)
                 if size > _BATCH or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(start, i + 1 - start) for j in rest), _lists(out)], names)
+                    ids = _lists(out)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(start, i + 1 - start) for j in rest), ids, *([_bytes(_table(raw.value), ids)] if decoded else [])], names)
                     start, size, out = i + 1, 0, []
 
-    return run
+    return tidy(run)
+
+
+def _bytes(tokens: tuple[np.ndarray, np.ndarray, np.ndarray], lists: pa.Array) -> pa.Array:
+    """The bytes that lists of ids stand for."""
+    flat, start, length = tokens
+    part, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+    n = length[part]
+    out_end = np.cumsum(n)
+    index = np.arange(int(out_end[-1]) if len(n) else 0) + np.repeat(start[part] - (out_end - n), n)
+    offsets = np.concatenate(([0], out_end))[ends].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(flat[index])])
 
 
 def _boundaries(pattern, window: str) -> list[int]:
@@ -114,11 +127,12 @@ def _chunk_batches(raw, pattern: str, chunk: int) -> Callable[[Iterator[pa.Recor
                     schema=pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("k", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("ids", pa.list_(pa.int32()))]),
                 )
 
-    return run
+    return tidy(run)
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """Rows of ``docs`` with ``text`` replaced by ``ids``, an array of ints.
+def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, decoded: str | None = None) -> DataFrame:
+    """Rows of ``docs`` with ``text`` replaced by ``ids``, an array of ints; with ``decoded``, the bytes that
+    they stand for are added under that name, as ``decode`` does, by the same Python worker.
 
     A null or empty text gives an empty array; repeated rows stay; other columns pass unchanged
     (one called ``ids`` is replaced).  ``ranks`` is the content of a rank file, of bounded size,
@@ -127,11 +141,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", c
     if not 0 < overlap_chars < chunk_chars:
         raise ValueError("0 < overlap_chars < chunk_chars is needed")
     raw = docs.sparkSession.sparkContext.broadcast(ranks)
-    src = docs.drop("ids") if "ids" != text else docs
+    src = docs.drop(*({"ids", decoded} - {text, None}))
     names = [c for c in src.columns if c != text]
-    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in names), "ids array<int>"])
+    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in names), "ids array<int>", *([f"`{decoded}` binary"] if decoded else [])])
     size = F.char_length(F.coalesce(F.col(text), F.lit("")))
-    short = src.where(size <= chunk_chars).mapInArrow(_encode_batches(raw, pattern, text), schema)
+    short = src.where(size <= chunk_chars).mapInArrow(_encode_batches(raw, pattern, text, decoded), schema)
     h = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")]
     long = src.where(size > chunk_chars).withColumns({"__h1": h[0], "__h2": h[1]})
     # One copy of each long text is cut; its copies get the ids by the digest.
@@ -145,28 +159,23 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", c
     joined = joined.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.when(F.coalesce("agreed", F.lit(False)), F.flatten(F.transform("p", lambda x: x["ids"]))).alias("ids"))
     long = long.join(joined.hint("merge"), ["__h1", "__h2"], "left")
     stitched = long.where(F.col("ids").isNotNull()).select(*names, "ids")
-    rest = long.where(F.col("ids").isNull()).select(*names, text).mapInArrow(_encode_batches(raw, pattern, text), schema)
+    stitched = decode(stitched, ranks, to=decoded) if decoded else stitched
+    rest = long.where(F.col("ids").isNull()).select(*names, text).mapInArrow(_encode_batches(raw, pattern, text, decoded), schema)
     return short.unionByName(stitched).unionByName(rest)
 
 
 def _decode_batches(raw, ids: str, to: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, start, length = _table(raw.value)
+        tokens = _table(raw.value)
         for batch in found:
             lists = batch.column(batch.schema.get_field_index(ids))
             ends, a = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))), 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(ends, ends[a] + _BATCH, side="right")) - 1)
-                part = lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
-                n = length[part]
-                out_end = np.cumsum(n)
-                index = np.arange(int(out_end[-1]) if len(n) else 0) + np.repeat(start[part] - (out_end - n), n)
-                offsets = np.concatenate(([0], out_end))[ends[a : b + 1] - ends[a]].astype(np.int32)
-                decoded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(flat[index])])
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), decoded], [*batch.schema.names, to])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), _bytes(tokens, lists.slice(a, b - a))], [*batch.schema.names, to])
                 a = b
 
-    return run
+    return tidy(run)
 
 
 def decode(encoded: DataFrame, ranks: bytes, *, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -182,7 +191,7 @@ def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    out = encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded")
     return out.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

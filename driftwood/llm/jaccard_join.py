@@ -7,10 +7,11 @@ Jaccard distance, one minus the Jaccard index, is a metric, and two documents li
    with it, so documents with fewer shingles that occur in any other document are done.  Shingles
    travel packed, a row for each batch of documents and range of hashes; a shingle that repeats
    inside a batch is settled there, so a frequent one is sent once a batch at most.
-2. Regions.  Documents with the same set are one item.  Items that link share one of their
+2. Regions.  Documents with the same set are one item.  Step 1 is done again among items, whose own
+   shingles bound the size of what they can link with.  Items that link share one of their
    ``n - ceil(threshold * n) + 1`` rarest hashes, so each such hash names a region.
-3. Pivots.  In each region with items that no pivot holds yet, the first items by hash become
-   pivots and the distances of the others to them are computed.  Items within r of a pivot
+3. Pivots.  In each region with items that no pivot holds yet, those with the fewest shingles of
+   their own become pivots and the distances of the others to them are computed.  Items within r of a pivot
    fall into its cell and link with it; the rest recur with more pivots, 1, 4, 16 and so on, so
    rounds grow with the logarithm of the region.  Cells need no pairs inside: all their items hang
    on the pivot.
@@ -30,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, durable, shuffle_partitions, small, table
-from ._hashing import mix, shingle_sets
+from ._common import LOWER, UPPER, durable, release, shuffle_partitions, small, table
+from ._hashing import mix, shingle_sets, slices, tidy
 from .components import connected_components
 
 PERCENT = 75
@@ -40,15 +41,17 @@ BROADCAST_IDS = 2_000_000
 GROUP = 4
 #: So many of the most frequent hashes, at most, are put last in the order of regions.
 FREQUENT = 200_000
+#: Bytes of text whose shingles are packed together, and shingles of a range of hashes, about.
+PACKED_BYTES, RANGE_SHINGLES = 12 << 20, 8 << 20
 #: The last round comes when pairs inside regions are no more than so many times the items.
 LAST_ROUND = 200
 
 
 def _set_batches(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, text) to (doc_id, n, f1, s): size, fingerprint and sorted hashes of the set."""
+    """(doc_id, text) to (doc_id, n, f1, s, bits): size, fingerprint, sorted hashes and bitmap of the set."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in (x for whole in found for x in slices(whole, 1, PACKED_BYTES)):
             ids, at = batch.column(0), 0
             part: list[np.ndarray] = []
             size = 0
@@ -60,17 +63,49 @@ def _set_batches(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     n = np.array([len(x) for x in part], np.int64)
                     fold = np.array([np.bitwise_xor.reduce(mix(x + np.uint64(1))) if len(x) else 0 for x in part], np.uint64).view(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.concatenate([*part, np.zeros(0, np.uint64)]).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, i + 1 - at), pa.array(n), pa.array(fold), lists], ["doc_id", "n", "f1", "s"])
+                    bits = pa.array([_bitmap(x) for x in part], pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, i + 1 - at), pa.array(n), pa.array(fold), lists, bits], ["doc_id", "n", "f1", "s", "bits"])
                     part, size, at = [], 0, i + 1
 
-    return run
+    return tidy(run)
+
+
+SETS = "doc_id bigint, n bigint, f1 bigint, s array<bigint>, bits binary"
 
 
-SETS = "doc_id bigint, n bigint, f1 bigint, s array<bigint>"
+def _bitmap(s: np.ndarray) -> bytes:
+    """A bit for each hash, four to eight times as many as hashes, at least 64."""
+    on = np.zeros(max(64, 4 << int(len(s) - 1).bit_length()), np.uint8) if len(s) else np.zeros(64, np.uint8)
+    on[(s & np.uint64(len(on) - 1)).astype(np.int64)] = 1
+    return np.packbits(on).tobytes()
+
+
+def _bound_batches(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, n, m, u, v) to the (a, b) whose index can reach ``least`` percent.
+
+    Each bit of u that v lacks is a hash, at least, that b lacks: this bounds the intersection.
+    """
+
+    def fold(x: np.ndarray, size: int) -> np.ndarray:
+        return np.bitwise_or.reduce(x.reshape(-1, size), axis=0)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            shared = np.zeros(batch.num_rows, np.int64)
+            for i, (u, v) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = np.frombuffer(u.as_buffer(), np.uint8), np.frombuffer(v.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                x, y = fold(x, size), fold(y, size)
+                shared[i] = min(n[i] - int(np.bitwise_count(x & ~y).sum()), m[i] - int(np.bitwise_count(y & ~x).sum()))
+            keep = pa.array(100 * shared >= least * (n + m - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return tidy(run)
 
 
 def _range_batches(ranges: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, text) to (range, ids, counts, tokens, common): packed shingles of the range.
+    """(id, text or set) to (range, ids, counts, tokens, common): packed shingles of the range.
 
     tokens: low 32 bits of hashes, document by document, ``counts`` of them each; ``common``: how
     many more of each document's repeat in this batch and so are known to be shared; the first of
@@ -78,12 +113,16 @@ def _range_batches(ranges: int, k: int) -> Callable[[Iterator[pa.RecordBatch]],
     """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in (x for whole in found for x in (slices(whole, 1, PACKED_BYTES) if pa.types.is_string(whole.column(1).type) else [whole])):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sets = list(shingle_sets(batch.column(1).to_pylist(), k))
+            if pa.types.is_string(batch.column(1).type):
+                sets = list(shingle_sets(batch.column(1).to_pylist(), k))
+            else:
+                sets = [x.values.to_numpy().view(np.uint64) for x in batch.column(1)]
             n = np.array([len(s) for s in sets], np.int64)
-            for key, at in _spread(ids, ranges):
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - key], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[at], n[at].astype(np.uint32), n[:0], n[:0]))], ["range", "ids", "counts", "tokens", "common"])
+            # The sizes go to a group by the first id, so to as many groups as there are.
+            key = int(mix(ids[:1].view(np.uint64))[0] % np.uint64(ranges))
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - key], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids, n.astype(np.uint32), n[:0], n[:0]))], ["range", "ids", "counts", "tokens", "common"])
             if not n.sum():
                 continue
             h, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
@@ -108,19 +147,11 @@ def _range_batches(ranges: int, k: int) -> Callable[[Iterator[pa.RecordBatch]],
                 tokens = np.concatenate((low[one][by], low[new[a:b] & ~one]))
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[who], counts, tokens, common))], ["range", "ids", "counts", "tokens", "common"])
 
-    return run
+    return tidy(run)
 
 
-def _spread(ids: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The rows of a batch by a hash of their ids, in at most 16 parts."""
-    parts = min(parts, 16)
-    key = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    for x in np.unique(key):
-        yield int(x), np.flatnonzero(key == x)
-
-
-def _shared_in_range(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The packed rows of one range to (id, shared): shingles that occur elsewhere too.
+def _shared_in_range(group: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The packed rows of one range to (ids, shared): shingles that occur elsewhere too.
 
     Two hashes of a range that agree in their low 32 bits count as one, so a document can keep a
     few too many, never too few.
@@ -136,20 +167,48 @@ def _shared_in_range(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         end = np.cumsum(counts.astype(np.int64))
         shared = total[end] - total[end - counts] + common
         some = shared > 0
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(shared[some].astype(np.int64))], ["id", "n", "shared"])
+        yield ids[some], shared[some].astype(np.int64)
+
+
+def _by_bucket(found: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """All (ids, numbers) dealt out by a hash of the ids."""
+    ids, v = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+    key = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    for part in np.split(order, cuts[1:]) if len(order) else []:
+        yield int(key[part[0]]), ids[part], v[part]
 
 
-def _sizes(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    for a, b in zip(group.column(1), group.column(2), strict=True):
-        n = np.frombuffer(b.as_py(), np.uint32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a.as_py(), np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], ["id", "n", "shared"])
+def _one_range(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """One group of packed rows, as ``applyInArrow`` hands it over, sizes or a range of hashes, to packed
+    (bucket, kind, ids, numbers): sizes (kind 0) or how many shingles occur elsewhere too (kind 1)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sizes = group.column(0)[0].as_py() < 0
+        if sizes:
+            found = [(np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.uint32).astype(np.int64)) for a, b in zip(group.column(1), group.column(2), strict=True)]
+        else:
+            found = list(_shared_in_range(iter(group.to_batches())))
+        rows = [(k, 0 if sizes else 1, i.tobytes(), v.tobytes()) for k, i, v in _by_bucket(found, buckets)]
+        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("v", pa.binary())])
+        return pa.Table.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(schema.types)], schema=schema)
+
+    return run
 
 
-def _one_range(group: pa.Table) -> pa.Table:
-    """One group of packed rows, as ``applyInArrow`` hands it over: sizes or a range of hashes."""
-    sizes = group.column(0)[0].as_py() < 0
-    parts = [b for b in (_sizes(group) if sizes else _shared_in_range(iter(group.to_batches()))) if b.num_rows]
-    return pa.Table.from_batches(parts, schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64())]))
+def _one_bucket(group: pa.Table) -> pa.Table:
+    """The packed rows of one bucket to (id, sizes, shared)."""
+    parts = {0: [], 1: []}
+    for kind, a, b in zip(group.column(1), group.column(2), group.column(3), strict=True):
+        parts[kind.as_py()].append((np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)))
+    (ids, n), (at, more) = (tuple(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in parts[k])]) for i in (0, 1)) for k in (0, 1))
+    order = np.argsort(ids, kind="stable")
+    name, first = np.unique(ids[order], return_index=True)
+    shared = np.zeros(len(name), np.int64)
+    np.add.at(shared, np.searchsorted(name, at), more)
+    offsets = pa.array(np.concatenate((first, [len(ids)])).astype(np.int32))
+    return pa.Table.from_arrays([pa.array(name), pa.ListArray.from_arrays(offsets, pa.array(n[order])), pa.array(shared)], ["id", "sizes", "shared"])
 
 
 def _frequent_batches(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -160,7 +219,7 @@ def _frequent_batches(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             token, k = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token[k >= least]), pa.array(k[k >= least])], ["token", "k"])
 
-    return run
+    return tidy(run)
 
 
 def _region_batches(frequent, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -177,7 +236,7 @@ def _region_batches(frequent, percent: int) -> Callable[[Iterator[pa.RecordBatch
             out = [flat[e - m : e][np.lexsort((flat[e - m : e], often[e - m : e]))[:f]] for e, m, f in zip(end, n, first, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, first)), pa.array(np.repeat(n, first)), pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))], ["id", "n", "region"])
 
-    return run
+    return tidy(run)
 
 
 def _distance_batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,11 +255,17 @@ def _distance_batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(whole)], ["a", "b", "shared", "whole"])
 
 
-def _distances(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """(a, b, shared, whole) of pairs (a, b) of items."""
+def _distances(pairs: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """(a, b, shared, whole) of the pairs (a, b) of items whose index is ``least`` percent or more.
+
+    Bitmaps, a fraction of the sets' size, are compared first.
+    """
+    one, two = (items.select(F.col("id").alias(i), F.col("n").alias(n), F.col("bits").alias(u)) for i, n, u in (("a", "n", "u"), ("b", "m", "v")))
+    near = durable(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "u", "v").mapInArrow(_bound_batches(least), "a bigint, b bigint"))
     one = items.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     two = items.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_distance_batches, "a bigint, b bigint, shared bigint, whole bigint")
+    told = near.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_distance_batches, "a bigint, b bigint, shared bigint, whole bigint")
+    return told.where(100 * F.col("shared") >= least * F.col("whole"))
 
 
 def shared_counts(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -208,10 +273,14 @@ def shared_counts(docs: DataFrame, k: int = 5) -> DataFrame:
 
     sizes: the set size of each row with the id; shared: how many shingles occur in other rows too.
     """
-    ranges = shuffle_partitions(docs.sparkSession)
-    packed = docs.mapInArrow(_range_batches(ranges, k), "range int, ids binary, counts binary, tokens binary, common binary")
-    told = packed.groupBy("range").applyInArrow(_one_range, "id bigint, n bigint, shared bigint")
-    return told.groupBy("id").agg(F.collect_list("n").alias("sizes"), F.sum("shared").alias("shared"))
+    return _shared(docs, k, F.char_length("text") / 6)  # a word and its blank take about six characters
+
+
+def _shared(rows: DataFrame, k: int, size) -> DataFrame:
+    ranges = max(shuffle_partitions(rows.sparkSession), int(rows.agg(F.sum(size)).first()[0] or 0) // RANGE_SHINGLES)
+    packed = rows.mapInArrow(_range_batches(ranges, k), "range int, ids binary, counts binary, tokens binary, common binary")
+    told = packed.groupBy("range").applyInArrow(_one_range(ranges), "bucket int, kind int, ids binary, v binary")
+    return told.groupBy("bucket").applyInArrow(_one_bucket, "id bigint, sizes array<bigint>, shared bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
@@ -256,15 +325,21 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
     enough links (a, b) between items for their components to be those of all links."""
     sets = durable(live.select("doc_id", "text").mapInArrow(_set_batches(k), SETS).where("n > 0"))
     # An item is named by the fingerprint of its set.
-    items = durable(sets.groupBy(F.col("f1").alias("id")).agg(F.first("n").alias("n"), F.first("s").alias("s")))
+    items = durable(sets.groupBy(F.col("f1").alias("id")).agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("bits").alias("bits")))
     members = sets.select("doc_id", F.col("f1").alias("id"))
-    sizes = durable(items.select("id", "n"))
+    # Shingles that no other item has are in no partner, which bounds a partner's size by ``most``.
+    known = _shared(items.select("id", "s"), k, F.size("s")).select("id", "shared")
+    most = (F.floor(F.col("shared") * F.lit((100 + percent) / percent) + 1e-9) - F.col("n")).alias("most")
+    sizes = durable(items.select("id", "n").join(known, "id").where(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", most, (F.col("n") - F.col("shared")).alias("own")))
+    items = durable(items.join(_side(sizes.select("id", "most")), "id"))
+    release(live.sparkSession)
     n_items = sizes.count()
     # Any order that all items share is exact; hashes that many items hold come last in it.
     often = items.select("s").mapInArrow(_frequent_batches(4), "token bigint, k bigint").groupBy("token").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "token").limit(FREQUENT).collect()
     often.sort(key=lambda r: r["token"])
     frequent = live.sparkSession.sparkContext.broadcast(tuple(np.array([r[c] for r in often], np.int64) for c in ("token", "k")))
-    open_ = durable(items.select("id", "n", "s").mapInArrow(_region_batches(frequent, percent), "id bigint, n bigint, region bigint"))
+    open_ = items.select("id", "n", "s").mapInArrow(_region_batches(frequent, percent), "id bigint, n bigint, region bigint")
+    open_ = durable(open_.join(_side(sizes.select("id", "own")), "id").select("id", "n", "region", "own"))
     far = 2 * percent - 100  # 100 * (1 - 2r): pairs less alike than this are outside every window
     linked = 100 * F.col("shared") >= percent * F.col("whole")
 
@@ -273,24 +348,26 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
 
     tested, links, per_region = None, None, 1
     while True:
+        # Items with the fewest shingles of their own come first: in a group of near copies, its centre.
         if per_region == 1:
-            first_item = F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("p"), F.col("n").alias("m")))
+            first_item = F.min(F.struct("own", F.xxhash64("id").alias("o"), F.col("id").alias("p"), F.col("n").alias("m")))
             pivots = open_.groupBy("region").agg(first_item.alias("x"), F.count("*").alias("k")).where("k > 1").select("region", "x.p", "x.m")
         else:
-            rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id"), "id"))
+            rank = F.row_number().over(Window.partitionBy("region").orderBy("own", F.xxhash64("id"), "id"))
             pivots = open_.withColumn("rank", rank).where(F.col("rank") <= per_region).select("region", F.col("id").alias("p"), F.col("n").alias("m"))
-        met = durable(open_.join(pivots, "region").select("region", "id", "n", "p", "m"))
+        met = durable(open_.join(pivots, "region").select("region", "id", "n", "own", "p", "m"))
         if per_region == 1:
             held = durable(met.groupBy("id").agg(F.count("*").alias("regions")))
         pairs = met.where(F.col("id") != F.col("p")).where(alike("n", "m", far)).select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
         fresh = pairs if tested is None else pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        near = _distances(fresh, items).where(100 * F.col("shared") >= far * F.col("whole"))
+        near = _distances(fresh, items, far)
         tested = durable(near if tested is None else tested.unionByName(near))
+        release(live.sparkSession)
         links = tested.where(linked).select("a", "b")
         # Items that are a pivot of the region, or in the cell of one, are done there.
         cell = links.select(F.col("a").alias("id"), F.col("b").alias("p"), F.lit(True).alias("hit"))
         done = F.max((F.col("id") == F.col("p")) | F.coalesce("hit", F.lit(False)))
-        left = durable(met.join(cell.hint("merge"), ["id", "p"], "left").groupBy("region", "id", "n").agg(done.alias("done")).where("not done").select("region", "id", "n"))
+        left = durable(met.join(cell.hint("merge"), ["id", "p"], "left").groupBy("region", "id", "n", "own").agg(done.alias("done")).where("not done").select("region", "id", "n", "own"))
         many = left.groupBy("region").count().where("count > 1")
         sizes_left = many.agg(F.max("count").alias("most"), F.sum(F.col("count") * F.col("count")).alias("pairs")).first()
         if sizes_left["most"] is None:
@@ -302,26 +379,33 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
         # The last round: what is left meets in full.  Of two items that link, the one whose rarest
         # hashes end first has all but what the link lets it miss of them in the other's; those in
         # regions where one of the two is done are not seen here and count as shared.
-        one, two = (open_.select("region", F.col("id").alias(i), F.col("n").alias(n)) for i, n in (("a", "n"), ("b", "m")))
+        wide = open_.join(_side(sizes.select("id", "most")), "id")
+        one, two = (wide.select("region", F.col("id").alias(i), F.col("n").alias(n), F.col("most").alias(x)) for i, n, x in (("a", "n", "na"), ("b", "m", "nb")))
         rare = lambda n: F.col(n) + 1 - F.ceil(F.col(n) * percent / 100)
         miss = lambda n, m: (100 * F.col(n) - percent * F.col(m)) / (100 + percent)
         least = F.least(rare("n") - miss("n", "m"), rare("m") - miss("m", "n"))
         unseen = durable(held.join(open_.groupBy("id").agg(F.count("*").alias("k")), "id").select("id", (F.col("regions") - F.col("k")).alias("u")))
-        met = one.join(two, "region").where("a < b").where(alike("n", "m", percent)).groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"))
+        met = one.join(two, "region").where("a < b AND m <= na AND n <= nb").where(alike("n", "m", percent)).groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"))
         met = met.join(unseen.select(F.col("id").alias("a"), F.col("u").alias("ua")), "a").join(unseen.select(F.col("id").alias("b"), F.col("u").alias("ub")), "b").where(F.col("k") + F.col("ua") + F.col("ub") >= least - 1e-9)
-        last = _distances(met.select("a", "b"), items).where(linked)
+        last = _distances(met.select("a", "b"), items, percent)
         links = durable(links.unionByName(last.select("a", "b")))
         break
+    release(live.sparkSession)
     # Step 4: windows around the cells, where components still differ.
     comp = durable(connected_components(links))
-    label = durable(sizes.join(comp, "id", "left").select("id", "n", F.coalesce("component", "id").alias("c")))
-    named = lambda own, c, n: label.select(F.col("id").alias(own), F.col("c").alias(c), F.col("n").alias(n))
+    label = durable(sizes.join(comp, "id", "left").select("id", "n", "most", "own", F.coalesce("component", "id").alias("c")))
+    named = lambda own, c, n, m: label.select(F.col("id").alias(own), F.col("c").alias(c), F.col("n").alias(n), F.col("most").alias(m), (F.col("n") - F.col("own")).alias(f"h{own}"))
     index = F.col("shared") / F.col("whole")
-    outer = tested.where(~linked).select(F.col("a").alias("y"), F.col("b").alias("p"), index.alias("jy")).join(named("y", "cy", "ny"), "y").join(named("p", "cp", "np"), "p").where("cy <> cp")
-    inner = tested.where(linked).select(F.col("a").alias("x"), F.col("b").alias("p"), index.alias("jx"))
-    window = outer.join(inner, "p").where(F.col("jx") - F.col("jy") <= 1 - percent / 100 + 1e-9).join(named("x", "cx", "nx"), "x").where("cx <> cy").where(alike("nx", "ny", percent))
+    outer = tested.where(~linked).select(F.col("a").alias("y"), F.col("b").alias("p"), index.alias("jy"), F.col("shared").alias("sy")).join(named("y", "cy", "ny", "my"), "y").join(label.select(F.col("id").alias("p"), F.col("c").alias("cp")), "p").where("cy <> cp")
+    inner = tested.where(linked).select(F.col("a").alias("x"), F.col("b").alias("p"), index.alias("jx"), F.col("shared").alias("sx")).join(named("x", "cx", "nx", "mx"), "x")
+    fits = (F.col("jx") - F.col("jy") <= 1 - percent / 100 + 1e-9) & (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("my")) & (F.col("ny") <= F.col("mx")) & alike("nx", "ny", percent)
+    # What x and y share is in p too or, at most, what each shares with others beside it.
+    through = F.least("sx", "sy") + F.least(F.col("hx") - F.col("sx"), F.col("hy") - F.col("sy"))
+    fits = fits & ((100 + percent) * through >= percent * (F.col("nx") + F.col("ny")))
+    o, i = outer.alias("o"), inner.alias("i")
+    window = o.join(i, (F.col("o.p") == F.col("i.p")) & fits)
     rest = window.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    late = _distances(rest, items).where(linked).select("a", "b")
+    late = _distances(rest, items, percent).select("a", "b")
     return members, durable(links.unionByName(late))
 
 

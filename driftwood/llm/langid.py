@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import durable, table
-from ._hashing import mix
+from ._hashing import mix, slices, tidy
 
 UNDETERMINED = "und"
 _BATCH = 1 << 19
@@ -96,7 +96,7 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def _count_batches(orders: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in (part for whole in found for part in slices(whole, 0, 4 * _BATCH)):
             texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=object)
             for lang in sorted(set(langs)):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -105,7 +105,7 @@ def _count_batches(orders: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch
                 n = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys)), "gram": keys.view(np.int64), "n": n})
 
-    return run
+    return tidy(run)
 
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows_per_language: int = 4000, orders: tuple[int, ...] = (3, 4), slots: int = 1 << 18, hashes: int = 2, min_rate: float = 1e-5, min_share: float = 0.3) -> Model:
@@ -172,16 +172,17 @@ def _score(model: Model, texts: list[str | None]) -> tuple[list[str], list[float
     return out, scores
 
 
-def _predict_batches(model, text: str, names: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict_batches(model, text: str, names: tuple[str, str], keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in found:
             k = batch.schema.get_field_index(text)
-            pred, score = _score(m, batch.column(k).to_pylist())
-            rest = [i for i in range(batch.num_columns) if i != k]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(batch.schema.names[i] for i in rest), *names])
+            rest = [i for i in range(batch.num_columns) if keep or i != k]
+            for part in slices(batch, k, 4 * _BATCH):
+                pred, score = _score(m, part.column(k).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(part.schema.names[i] for i in rest), *names])
 
-    return run
+    return tidy(run)
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -192,10 +193,9 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep_text: boo
     are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.drop("lang_pred", "score", "__text").withColumn("__text", F.col(text))
-    src = src if keep_text else src.drop(text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"), "lang_pred string, score double"])
-    return src.mapInArrow(_predict_batches(sent, "__text", ("lang_pred", "score")), schema)
+    src = docs.drop("lang_pred", "score")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if keep_text or f.name != text), "lang_pred string, score double"])
+    return src.mapInArrow(_predict_batches(sent, text, ("lang_pred", "score"), keep_text), schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -51,7 +51,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     own = docs.select(*COLUMNS).withColumn("sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    out = bpe.decode(bpe.encode(own, ranks, public_tokenizers.PATTERN), ranks)
+    out = bpe.encode(own, ranks, public_tokenizers.PATTERN, decoded="decoded")
     return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
 
 
