@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, duck, name):
 def test_query_has_a_row_for_each_row(spark, duck, n):
     name = next(q for q in QUERIES if q.startswith(f"op{n}_"))
     table = ROWS.get(n, "documents")
-    assert QUERIES[name](spark, str(SF)).count() == duck.sql(f"SELECT count(*) FROM {table}").fetchone()[0]
+    assert QUERIES[name](spark, str(SF)).count() == duck.execute(f"SELECT count(*) FROM {table}").fetchall()[0][0]
 
 
 def test_held_out_accuracy(spark, duck):
