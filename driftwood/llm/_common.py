@@ -40,6 +40,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of an Arrow batch at most: texts of some kilobytes then take some megabytes on either side.
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold ``ARROW_ROWS`` rows at most; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

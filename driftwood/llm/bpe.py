@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import small_batches, table
 from ._hashing import tidy
 
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
 #: Characters or ids that are worked on between two yields.
-_BATCH = 1 << 20
+_BATCH = 1 << 18
 
 
 def read_ranks(path: str) -> bytes:
@@ -140,6 +140,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, *, text: str = "text", c
     """
     if not 0 < overlap_chars < chunk_chars:
         raise ValueError("0 < overlap_chars < chunk_chars is needed")
+    small_batches(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(ranks)
     src = docs.drop(*({"ids", decoded} - {text, None}))
     names = [c for c in src.columns if c != text]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, durable, release, shuffle_partitions, small, table
+from ._common import LOWER, UPPER, durable, release, shuffle_partitions, small, small_batches, table
 from ._hashing import mix, shingle_sets, slices, tidy
 from .components import connected_components
 
@@ -42,7 +42,7 @@ GROUP = 4
 #: So many of the most frequent hashes, at most, are put last in the order of regions.
 FREQUENT = 200_000
 #: Bytes of text whose shingles are packed together, and shingles of a range of hashes, about.
-PACKED_BYTES, RANGE_SHINGLES = 12 << 20, 8 << 20
+PACKED_BYTES, RANGE_SHINGLES = 8 << 20, 8 << 20
 #: The last round comes when pairs inside regions are no more than so many times the items.
 LAST_ROUND = 200
 
@@ -295,6 +295,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "d
         raise ValueError("percent must be over 50 and at most 100")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     keyed = rows.where(F.col("doc_id").isNotNull())
+    small_batches(docs.sparkSession)
     counts = durable(shared_counts(keyed, k))
     live = counts.where((F.array_max("sizes") > 0) & (100 * F.col("shared") >= percent * F.array_min("sizes"))).select(F.col("id").alias("__id"))
     members, links = links_of(keyed.join(_side(live), F.col("doc_id") == F.col("__id"), "left_semi"), percent, k)

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, table
+from ._common import durable, small_batches, table
 from ._hashing import mix, slices, tidy
 
 UNDETERMINED = "und"
-_BATCH = 1 << 19
+_BATCH = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -116,6 +116,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     ``1 / min_rate`` n-grams; ``slots`` is a power of two.  Without labelled rows the model has no language and every
     prediction is ``und``.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("key"))
     per = rows.groupBy("lang").count().collect()  # one row a language
     languages = tuple(sorted(r["lang"] for r in per))
@@ -192,6 +193,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep_text: boo
     name.  The column ``text`` is dropped unless ``keep_text``; columns that have the new names
     are replaced.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.drop("lang_pred", "score")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if keep_text or f.name != text), "lang_pred string, score double"])
