@@ -48,18 +48,23 @@ def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
-    """A literal array of the CELLS levels of words, each in the high bits of a number."""
+    """A literal array of CELLS / 16 numbers that hold a level of four bits for each cell of words."""
     # Words are counted as written and split plainly: levels order tokens and need no more.
     word = docs.select(F.explode(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(CELLS - 1).cast("int").alias("cell"))
     found = {r["cell"]: r["count"] for r in word.groupBy("cell").count().collect()}  # CELLS rows at most
     mean = max(1.0, sum(found.values()) / CELLS)
-    levels = [sum(found.get(cell, 0) >= x * mean for x in STEPS) << 60 for cell in range(CELLS)]
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    # Plans, which the driver keeps, spell out the array, so it is packed.
+    packed = [0] * (CELLS // 16)
+    for cell, count in found.items():
+        packed[cell // 16] |= sum(count >= x * mean for x in STEPS) << 4 * (cell % 16)
+    return F.split(F.lit(",".join(map(str, packed))), ",").cast("array<bigint>")
 
 
 def tokens(line: Column, levels: Column, k: int) -> Column:
     """Distinct tokens, rarest first: the level in the high bits, 60 bits of the shingle's hash below."""
-    token = lambda first, x: F.get(levels, first.bitwiseAND(CELLS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(x, 4))
+    cell = lambda x: x.bitwiseAND(CELLS - 1).cast("int")
+    level = lambda x: F.call_function("shiftright", F.get(levels, F.shiftright(cell(x), 4)), cell(x).bitwiseAND(15) * 4).bitwiseAND(7)
+    token = lambda first, x: F.shiftleft(level(first), 60).bitwiseOR(F.shiftrightunsigned(x, 4))
     return F.sort_array(F.array_distinct(map_shingles(words(line), token, k)))
 
 
