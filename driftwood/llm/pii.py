@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
-KINDS = ("email", "ip", "card", "phone", "iban", "number")
+KINDS = ("email", "ip", "card", "phone", "iban", "number", "secret")
 BASE = KINDS[:4]
 #: Spans that the method adds need this score; base spans stay whatever their score.
 MIN_SCORE = 0.6
@@ -29,11 +29,12 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "number": r"(?<![A-Za-z0-9+.-])[0-9]{3}[\x20.-][0-9]{2,4}[\x20.-][0-9]{4}(?![A-Za-z0-9]|[.-][0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?i:token|secret|password|passwd|api[_-]?key)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9+/_=-]{16,}+",
 }
 #: A text without this has no span of the kind.
-_NEEDED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "number": r"[0-9]{3}[\x20.-][0-9]"}
+_NEEDED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "number": r"[0-9]{3}[\x20.-][0-9]", "secret": r"(?i)token|secret|passw|api[_-]?key"}
 #: Score of a confirmed span, and the words nearby that raise it.
-_SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "number": 0.3}
+_SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "number": 0.3, "secret": 0.7}
 _CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact)\b",
     "ip": r"(?i)\b(?:ip|address|host|server)\b",
@@ -41,6 +42,7 @@ _CONTEXT = {
     "phone": r"(?i)\b(?:phone|tel|call|mobile|fax)\b",
     "iban": r"(?i)\b(?:iban|account|bank|transfer)\b",
     "number": r"(?i)\b(?:phone|tel|call|mobile|fax|ssn|social|passport)\b",
+    "secret": r"(?i)\b(?:auth|bearer|credential|login|private)\b",
 }
 _NEAR, _RAISE = 40, 0.3
 
@@ -86,6 +88,8 @@ def _valid(kind: str, m: Column) -> Column:
         "phone": lambda: F.char_length(_digits(m)).between(10, 15),
         "iban": lambda: _mod97(m),
         "number": lambda: F.lit(True),
+        # Letters and digits mixed, as words are not.
+        "secret": lambda: m.rlike("[0-9]") & m.rlike("[A-Za-z0-9+/_=-]{16,}$"),
     }[kind]()
 
 

@@ -217,3 +217,10 @@ def test_short_items_inside_long_documents(spark):
     got = {(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in decontam.contained(docs(spark, texts), items, short_anywhere=True).collect()}
     assert got == {(d, i, 1, 1) for d, i in ((0, 0), (0, 2), (0, 3), (0, 6), (1, 1), (2, 1), (3, 0), (7, 0), (7, 2))}
     assert {r["doc_id"] for r in decontam.remove_contaminated(docs(spark, texts), items, short_anywhere=True).collect()} == {4, 5, 6}
+
+
+def test_secrets_are_proposed_by_their_names(spark):
+    texts = ['a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b', "password: short", "the token is lost", "api_key=abcdefghijklmnopqrst", "Secret: abcdefgh12345678"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["pii"] if s["kind"] == "secret"] for r in pii.find(df).collect()}
+    assert found == {0: [("secret", 2, 51)], 1: [], 2: [], 3: [], 4: [("secret", 0, 24)]}
