@@ -47,7 +47,7 @@ def paths(tree: DataFrame, root: int = 1, max_depth: int = MAX_DEPTH) -> DataFra
     on below max_depth, or has a cycle, is an error: a part of it is no answer.
     """
     spark = tree.sparkSession
-    edges = tree.select(F.col("parent_ino").alias("__p"), F.col("ino").alias("i"), F.col("name").alias("n"), F.col("kind").alias("k"), F.col("size").alias("s"))
+    edges = durable(tree.select(F.col("parent_ino").alias("__p"), F.col("ino").alias("i"), F.col("name").alias("n"), F.col("kind").alias("k"), F.col("size").alias("s")))
     level = spark.createDataFrame([(root, "/", 0, "dir", 0, None)], "ino bigint, path string, depth int, kind string, size bigint, parent_ino bigint")
     out = level
     for depth in range(1, max_depth + 1):
