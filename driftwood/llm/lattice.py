@@ -6,6 +6,7 @@ neighbouring cells, nearest first (the lattice's 240 shortest vectors lead to th
 meet in any table are verified by cosine in double precision.
 
 Equal vectors are one class: they share cells, are verified once and never expanded into pairs.
+A class is named by its least id and a hash of its vector, as ids may repeat with other vectors.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .components import connected_components
 MIN_COSINE = 0.95
 TABLES, PROBES, SCALE, SEED = 8, 8, 1.2, 11
 _ROWS = 2048
+#: Name of a class; the least name of a component begins with its least id.
+_NAME = "struct<vec_id:bigint,hash:bigint>"
 
 
 def decode_e8(x: np.ndarray) -> np.ndarray:
@@ -116,22 +119,22 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
 
     Null, zero or non-finite vectors link with nothing; vectors of different lengths don't link.
     Equal vectors link, and each counts.  A row without id stays with itself (component null,
-    kept); rows that share an id and a vector count as two vectors of one id.
+    kept); rows that share an id count as vectors of their own, whether theirs are equal or not.
     """
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     good = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
-    classes = durable(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
+    classes = durable(good.groupBy("h1", "h2").agg(F.struct(F.min("vec_id").cast("bigint").alias("vec_id"), F.col("h1").alias("hash")).alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
     # The representative's vector stands for the class.
-    hashed = durable(classes.select("rep", "v").mapInArrow(_cell_batches(tables, probes, scale, seed), "id bigint, own array<bigint>, probed array<bigint>"))
+    hashed = durable(classes.select("rep", "v").mapInArrow(_cell_batches(tables, probes, scale, seed), f"id {_NAME}, own array<bigint>, probed array<bigint>"))
     index = hashed.select(F.col("id").alias("j"), F.explode("own").alias("cell"))
     search = hashed.select(F.col("id").alias("i"), F.explode("probed").alias("cell"))
     pairs = search.join(index, "cell").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     u, v = classes.select(F.col("rep").alias("a"), F.col("v").alias("u")), classes.select(F.col("rep").alias("b"), "v")
-    links = durable(pairs.join(u, "a").join(v, "b").select("a", "b", "u", "v").mapInArrow(_cosine_batches, "a bigint, b bigint"))
+    links = durable(pairs.join(u, "a").join(v, "b").select("a", "b", "u", "v").mapInArrow(_cosine_batches, f"a {_NAME}, b {_NAME}"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
     comp = connected_components(links)
-    told = classes.select("h1", "h2", "rep", "copies").join(degree, "rep", "left").join(comp, F.col("rep") == F.col("id"), "left").select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    told = classes.select("h1", "h2", "rep", "copies").join(degree, "rep", "left").join(comp, F.col("rep") == F.col("id"), "left").select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep")["vec_id"].alias("c"))
     keyed = rows.select("vec_id", F.when(usable(F.col("v")) & F.col("vec_id").isNotNull(), F.xxhash64("v")).alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     out = keyed.join(told.hint("merge"), ["h1", "h2"], "left")
     comp_id = F.coalesce("c", "vec_id")

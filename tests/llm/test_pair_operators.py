@@ -234,3 +234,26 @@ def test_near_vectors_against_all_pairs(spark):
     want = classes(n, [(int(a), int(b)) for a, b in np.argwhere(near) if a > b])
     assert np.mean([got[i]["component_id"] == want[i] for i in range(n)]) > 0.9
     assert lattice.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_of_other_vectors(spark):
+    rng = np.random.default_rng(12)
+    v, w = rng.standard_normal((2, 16))
+    near = v + 0.01 * rng.standard_normal(16)
+    rows = [(1, v), (1, w), (2, near), (3, w), (3, w), (None, v)]
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in rows], "vec_id bigint, embedding array<double>")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in lattice.near_duplicates(df).collect())
+    assert got == [(0, 0, None, True), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False)]
+
+
+def test_recall_at_the_least_cosine(spark):
+    """Pairs of 64 numbers at a cosine just above the threshold, where the fewest are found."""
+    rng = np.random.default_rng(13)
+    u, z = rng.standard_normal((2, 600, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    z -= (z * u).sum(axis=1)[:, None] * u
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    x = np.concatenate((u, 0.9501 * u + np.sqrt(1 - 0.9501**2) * z))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in lattice.near_duplicates(df).collect()}
+    assert np.mean([got[i + 600] == i for i in range(600)]) >= 0.95
