@@ -111,14 +111,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "do
     met = postings.select("token", "doc", "at", rank, F.lead("at").over(by).isNotNull().alias("more"))
     hot = durable(met.where("rank > 1 or more").select("token", "doc", "at"))
     release(docs.sparkSession)
-    # Of a line's n - ceil(t * n) + 1 rarest tokens those that no other line has are in no partner, so
-    # a partner has ``most`` tokens at most.  Two lines of which neither may have one as large as
-    # itself (tight ones, say with a common passage) can't match.
-    alone = size_of("at") - F.ceil(size_of("at") * percent / 100) + 1 - F.count("*").over(Window.partitionBy("doc", "line"))
-    most = F.floor((size_of("at") - alone) * (100 + percent) / percent).cast("int") - size_of("at")
-    limit = F.when(size_of("at") < MOST, most).otherwise(MOST).alias("most")
-    hot = hot.withColumn("line", line_of("at")).select("token", "doc", "at", limit)
-    hot = durable(hot.select("token", "doc", "at", "most", rank, F.first("doc").over(by).alias("doc0"), F.first("at").over(by).alias("at0"), F.first("most").over(by).alias("most0")))
+    hot = durable(hot.select("token", "doc", "at", rank, F.first("doc").over(by).alias("doc0"), F.first("at").over(by).alias("at0")))
 
     def overlap(n, m):
         """The least intersection of two sets of n and m tokens that match."""
@@ -126,7 +119,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "do
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """(da, la, db, lb) of the pairs (doc, at), (doc0, at0) that pass both filters, the earlier first."""
-        both = pairs.where(((size_of("at0") <= F.col("most")) & (size_of("at") <= F.col("most0"))) | (F.greatest(size_of("at"), size_of("at0")) >= MOST)).select("doc", "doc0", line_of("at").alias("line"), line_of("at0").alias("line0"), size_of("at").alias("n"), size_of("at0").alias("m"), pos_of("at").alias("pos"), pos_of("at0").alias("qos"))
+        both = pairs.select("doc", "doc0", line_of("at").alias("line"), line_of("at0").alias("line0"), size_of("at").alias("n"), size_of("at0").alias("m"), pos_of("at").alias("pos"), pos_of("at0").alias("qos"))
         alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
         placed = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("qos")) + F.least("pos", "qos") >= overlap("n", "m")
         both = both.where(alike & (placed | (F.greatest("n", "m") >= MOST)))
@@ -157,14 +150,9 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "do
     release(docs.sparkSession)
     # Lines that nothing has removed meet the earlier ones of their tokens.
     line = line_of("at").alias("line")
-    could = (size_of("at") <= F.col("most")).alias("open")
-    left = durable(hot.where("rank > 2").select("token", "doc", "at", line, "rank", could).join(_side(gone.withColumnsRenamed({"doc_id": "doc", "line_no": "line"})), ["doc", "line"], "left_anti"))
-    right = hot.where("rank > 1").select("token", "doc", "at", line, "rank", could)
-    # One of the two has to be open.
-    asks = left.groupBy("token").agg(F.max("rank").alias("last"), F.max("open").alias("asked"))
-    gives = right.groupBy("token").agg(F.max("open").alias("given"))
-    right = durable(right.join(asks, "token").where("rank <= last and (open or asked)").select("token", "doc", "at", "line", "rank"))
-    left = left.join(gives, "token").where("open or given")
+    left = durable(hot.where("rank > 2").select("token", "doc", "at", line, "rank").join(_side(gone.withColumnsRenamed({"doc_id": "doc", "line_no": "line"})), ["doc", "line"], "left_anti"))
+    asks = left.groupBy("token").agg(F.max("rank").alias("last"))
+    right = durable(hot.where("rank > 1").select("token", "doc", "at", line, "rank").join(asks, "token").where("rank <= last").select("doc", "line").distinct())
     # All tokens of these lines are counted among themselves now.  Those that one line has alone are in no
     # partner, so ``most`` is tighter, and prefixes of what is left, by true counts, are short and rare.
     part = right.select("doc", "line", F.lit(False).alias("asks")).unionByName(left.select("doc", "line", F.lit(True).alias("asks")))
