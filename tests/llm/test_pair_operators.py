@@ -105,12 +105,51 @@ def test_lines_against_all_pairs(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_that_are_parts_of_longer_ones(spark):
+    """A line of 31 words and its beginning, middle and end: tokens that no other prefix has count too."""
+    rng = random.Random(12)
+    docs = []
+    for i in range(240):
+        w = [f"z{rng.randrange(10**6)}" for _ in range(31)]
+        part = (w[:25], w[3:28], w[6:])[i % 3]
+        docs.append("\n".join([" ".join(w), " ".join(part)] if i % 2 else [" ".join(part), " ".join(w)]))
+    shared = [f"y{i}" for i in range(31)]
+    docs += [" ".join(shared[a : a + n]) for a, n in ((0, 31), (0, 25), (3, 25), (6, 25), (0, 24), (2, 28))]
+    held = [(d, n, shingles(x, str.lower)) for d, t in enumerate(docs) for n, x in enumerate(t.split("\n"))]
+    where: dict[str, list[int]] = {}
+    for i, (_, _, s) in enumerate(held):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    gone = {(d, n) for i, (d, n, s) in enumerate(held) if any(j < i and 100 * len(s & held[j][2]) >= 75 * len(s | held[j][2]) for x in s for j in where[x])}
+    assert len(gone) >= 240
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(3)
+    assert {(r["doc_id"], r["line_no"]) for r in lines.repeated_lines(df).collect()} == gone
+
+
 def test_lines_of_rows_without_id_or_with_the_same(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e\nnew")], "doc_id bigint, text string")
     got = sorted((r["doc_id"] or 0, r["text"]) for r in lines.dedup_lines(df).collect())
     assert got == [(0, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, "new")]
 
 
+def test_passages_over_layers_of_partial_copies(spark):
+    """Earlier documents hold overlapping parts of a passage, layer on layer; later ones hold it whole."""
+    rng = random.Random(8)
+    word = lambda n: [f"p{rng.randrange(10**7)}" for _ in range(n)]
+    around = lambda part: " ".join([*word(60), *part, *word(60)])
+    texts, want = [], set()
+    for layers in (1, 2, 5):
+        p = word(80)
+        for _ in range(layers):
+            texts += [around(p[:44]), around(p[36:])]
+        texts += [around(p), around(p)]
+        want.add((len(texts) - 1, len(texts) - 2))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {(r["doc_id"], r["ref_id"]): (r["start"], r["end"]) for r in passages.repeated_passages(df).collect()}
+    assert want <= set(got)
+    assert all(got[w] == (60, 140) for w in want)
+
+
 def test_passages_that_repeat_and_those_that_dont(spark):
     rng = random.Random(6)
     many = [f"v{i}" for i in range(20_000)]

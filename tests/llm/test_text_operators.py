@@ -125,6 +125,14 @@ def test_longest_rule_and_aliases(spark):
     assert urls.judge(df.limit(0), urls.RULES).count() == 0
 
 
+def test_the_rules_as_dealt(spark):
+    assert [(r.name, r.verdict) for r in urls.RULES] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+    rows = ["http://a.com/en/1", "http://example.com/en/70", "http://a.net/de/8", "http://example.net/de/81", "http://a.org/es/", "http://a.org/en/"]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(rows)], "page_id int, url string, html string")
+    got = [(r["rule"], r["verdict"]) for r in urls.judge(df, urls.RULES).orderBy("page_id").collect()]
+    assert got == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow")]
+
+
 # Personal data.
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
