@@ -13,7 +13,7 @@ SF = Path("/root/testdata/sf0.001")
 #: What a join leaves out shows on more rows than the smallest tables have.
 LARGER = Path("/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no tables here")
-ROWS = {8: "pages", 10: "embeddings"}
+ROWS = {8: "pages", 10: "embeddings", 12: "embeddings"}
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +45,7 @@ def test_query_equals_sql_on_more_rows(spark, name):
     assert sort(ours) == sort(theirs)
 
 
-@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10])
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 11, 12])
 def test_query_has_a_row_for_each_row(spark, duck, n):
     name = next(q for q in QUERIES if q.startswith(f"op{n}_"))
     table = ROWS.get(n, "documents")
