@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftwood.functions import scalars
-from driftwood.operators import conflict, fold, journal
+from driftwood.operators import conflict, feed, journal
 from driftwood.sources import fixtures
 from driftwood.sources.fixtures import JOURNAL_SQL
 
@@ -158,13 +158,13 @@ def conflict_report(spark, sf_dir):
 @query(f"""WITH {JOURNAL_SQL} SELECT seq, CASE WHEN op = 'content' THEN '{{"op":"content","share":"s' || share || '","path":"/' || name || '","size":' || size || '}}'
   ELSE '{{"op":"' || op || '","share":"s' || share || '","path":"/' || name || '"}}' END AS line FROM journal""")
 def feed_json(spark, sf_dir):
-    return fold.feed_lines(fixtures.journal(spark, sf_dir).withColumn("path", F.concat(F.lit("/"), F.col("name"))).withColumn("share", F.concat(F.lit("s"), F.col("share")))).select("seq", "line")
+    return feed.feed_lines(fixtures.journal(spark, sf_dir).withColumn("path", F.concat(F.lit("/"), F.col("name"))).withColumn("share", F.concat(F.lit("s"), F.col("share")))).select("seq", "line")
 
 
 @query(f"WITH {JOURNAL_SQL} SELECT seq FROM journal WHERE starts_with('/' || name, '/u1')")
 def feed_prefix(spark, sf_dir):
     j = fixtures.journal(spark, sf_dir).withColumn("path", F.concat(F.lit("/"), F.col("name")))
-    return j.where(fold.feed_match("/u1", "path")).select("seq")
+    return j.where(feed.feed_match("/u1", "path")).select("seq")
 
 
 def _xor(a, b):
@@ -193,9 +193,3 @@ def fingerprint(spark, sf_dir):
 def change_attr(spark, sf_dir):
     c = F.col
     return fixtures.journal(spark, sf_dir).select("seq", scalars.change_attr(c("seq"), c("mode"), c("node_ino"), c("mode") + 1, c("size")).alias("change"))
-
-
-@query()
-def journal_fold_full(spark, sf_dir):
-    """The whole fold of the journal of each share; checked against a plain model in the tests."""
-    return fold.fold_shares(fold.from_fixture(fixtures.journal(spark, sf_dir)))

@@ -1,30 +1,13 @@
-"""The journal fold: ordered change records to nodes and directory entries.
-
-Records of a share depend on each other across nodes (a removal can take a subtree along), so the
-fold's key is the share.  A share's records stream through one task in order; only its state, the
-tree, is held there.  All effects are idempotent: records may be repeated, and may come before the
-node they speak of, in which case they wait for it.
-"""
+"""A plain model of a share's tree in memory, which the replica is tested against."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 ROOT = (1, 0)
 FIRST_COOKIE, MAX_PENDING = 3, 65_536
 Key = tuple[int, int]
 
-RECORD = (
-    "share bigint, seq bigint, op string, ino bigint, gen bigint, parent_ino bigint, parent_gen bigint, name string, to_parent_ino bigint, to_parent_gen bigint, to_name string, "
-    "kind string, mode bigint, size bigint, mtime_sec bigint, version bigint, has_attr boolean"
-)
-NODES = "share bigint, ino bigint, gen bigint, kind string, mode bigint, size bigint, mtime_sec bigint, version bigint, parent_ino bigint, links bigint, entries bigint, dirgen bigint, complete boolean, resync boolean"
-
 
 @dataclass
 class Dir:
@@ -189,79 +172,3 @@ class Tree:
                     c.links = max(0, c.links - 1)
                     if c.links == 0 and child != ROOT:
                         todo.append(child)
-
-    def rows(self, share: int) -> Iterator[tuple]:
-        for (ino, gen), n in self.nodes.items():
-            d = n.dir
-            yield share, ino, gen, n.kind, n.mode, n.size, n.mtime_sec, n.version, n.parent[0], n.links, len(d.names) if d else None, d.generation if d else None, d.complete if d else None, self.resync
-
-
-def from_fixture(journal: DataFrame) -> DataFrame:
-    """Records of the events' journal in the fold's form: a version is the record's number."""
-    sec = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("bigint")
-    none = F.lit(None)
-    return journal.select(
-        F.col("share").cast("bigint"), "seq", "op", F.col("node_ino").cast("bigint").alias("ino"), F.lit(1).cast("bigint").alias("gen"), F.lit(ROOT[0]).cast("bigint").alias("parent_ino"), F.lit(ROOT[1]).cast("bigint").alias("parent_gen"), "name",
-        none.cast("bigint").alias("to_parent_ino"), none.cast("bigint").alias("to_parent_gen"), none.cast("string").alias("to_name"), F.lit("file").alias("kind"), "mode", "size", sec.alias("mtime_sec"), F.col("seq").alias("version"), F.lit(True).alias("has_attr"),
-    )
-
-
-_COLUMNS = [c.strip().split(" ")[0] for c in NODES.split(",")]
-
-
-def _records(pdf: pd.DataFrame) -> Iterator[dict]:
-    for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-        yield r
-
-
-def _table(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_COLUMNS)
-    for c in ("entries", "dirgen"):
-        out[c] = out[c].astype("Int64")
-    out["complete"] = out["complete"].astype("boolean")
-    return out
-
-
-def fold_shares(records: DataFrame, compat: bool = True) -> DataFrame:
-    """Nodes of each share after its records, in order of ``seq``.  No records, no rows."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        share, tree = None, None
-        for pdf in parts:
-            for r in _records(pdf):
-                if r["share"] != share:
-                    if tree is not None:
-                        yield _table(list(tree.rows(share)))
-                    share, tree = r["share"], Tree(compat)
-                tree.apply(r)
-        if tree is not None:
-            yield _table(list(tree.rows(share)))
-
-    return records.where("share IS NOT NULL").repartition("share").sortWithinPartitions("share", "seq").mapInPandas(run, NODES)
-
-
-def from_snapshot(tree: Tree, records: list[dict]) -> None:
-    """Fold snapshot records (dir, parent, attributes, entries, last) into a tree, in any order."""
-    for d in records:
-        tree.put_node(d["dir"], d["attr"], d["parent"])
-        for e in d["entries"]:
-            tree.put_node(e["node"], e["attr"], d["dir"])
-        for e in d["entries"]:
-            tree.link(d["dir"], e["name"], e["node"], e["attr"]["kind"])
-        if d["last"]:
-            tree.nodes[d["dir"]].dir.complete = True
-
-
-def feed_lines(records: DataFrame) -> DataFrame:
-    """A JSON line for each record that has one: op, share, path, and the size of a content record."""
-    op = F.when(F.col("op") == "self_removed", "removed").otherwise(F.col("op"))
-    body = F.struct(op.alias("op"), F.col("share").alias("share"), "path", F.when(F.col("op") == "content", F.col("size")).alias("size"))
-    return records.where(~F.col("op").isin("overflow", "echo")).withColumn("line", F.to_json(body))
-
-
-def feed_match(prefix: str, *paths: str) -> Column:
-    """Whether any path begins with the prefix, as plain text; null paths don't."""
-    out = F.lit(False)
-    for p in paths:
-        out = out | F.coalesce(F.col(p).startswith(prefix), F.lit(False))
-    return out
