@@ -5,6 +5,10 @@ Content hashes are SHA-256.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +138,69 @@ def covered_chunks(ranges: DataFrame, sizes: DataFrame, chunk: int, key: str = "
     return at.where((off >= F.col("start")) & (off < F.col("size")) & (F.least(off + chunk, F.col("size")) <= F.col("end"))).select(key, off.alias("off"))
 
 
+def _paint(bucket: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of a bucket, newest first: each keeps the bytes that no newer one has; a bucket's are one map."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, free, left = None, np.zeros(0, bool), 0
+        for pdf in parts:
+            out = []
+            for key, salt, b, lo, hi, arrival in zip(*(pdf[c].tolist() for c in ("file", "salt", "bucket", "start", "end", "arrival")), strict=True):
+                if (key, salt, b) != at:
+                    at, free, left = (key, salt, b), np.ones(bucket, bool), bucket
+                if not left:
+                    continue
+                i = lo - b * bucket
+                part = free[i : hi - b * bucket]
+                edges = np.flatnonzero(np.diff(np.concatenate(([False], part, [False])).view(np.int8))).tolist()
+                out += [(key, b, lo + x, lo + y, arrival) for x, y in zip(edges[::2], edges[1::2], strict=True)]
+                left -= int(part.sum())
+                part[:] = False
+            yield pd.DataFrame(out, columns=["file", "bucket", "start", "end", "arrival"], dtype="int64")
+
+    return run
+
+
+def write_overlay(writes: DataFrame, bucket: int = 1 << 16, salts: int = 16) -> DataFrame:
+    """(file, start, end, arrival): the bytes of each file after its writes (file, arrival, off, len), each
+    from the newest write that has it.  Nothing covers holes.
+
+    Writes are cut at multiples of ``bucket``.  The newest of a bucket are painted first and older ones
+    fill what is left, so a task holds one bucket's map, however many writes there are.  As the newest
+    of parts is the newest of all, a bucket's writes are first painted in ``salts`` parts side by side.
+    """
+    at = F.floor(F.col("off") / bucket)
+    cut = writes.where("len > 0").select("file", "arrival", "off", (F.col("off") + F.col("len")).alias("to"), F.explode(F.sequence(at, F.floor((F.col("off") + F.col("len") - 1) / bucket))).alias("bucket"))
+    rows = cut.select("file", "bucket", F.greatest("off", F.col("bucket") * bucket).alias("start"), F.least("to", (F.col("bucket") + 1) * bucket).alias("end"), "arrival")
+    schema = "file bigint, bucket bigint, start bigint, end bigint, arrival bigint"
+    for salt in ([F.pmod(F.xxhash64("arrival"), F.lit(salts))] if salts > 1 else []) + [F.lit(0)]:
+        keyed = rows.select(*(F.col(c).cast("bigint") for c in ("file", "bucket", "start", "end", "arrival")), salt.cast("bigint").alias("salt"))
+        rows = keyed.repartition("file", "bucket", "salt").sortWithinPartitions("file", "bucket", "salt", F.desc("arrival"), "start").mapInPandas(_paint(bucket), schema)
+    # Pieces that a bucket's edge has cut are one again.
+    w = Window.partitionBy("file", "arrival").orderBy("start")
+    fresh = F.coalesce(F.lag("end").over(w) != F.col("start"), F.lit(True))
+    return rows.withColumn("piece", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("file", "arrival", "piece").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("file", "start", "end", "arrival")
+
+
+def overlay_bytes(segments: DataFrame, writes: DataFrame) -> DataFrame:
+    """``segments`` with their bytes, out of ``data`` of the writes."""
+    data = writes.select("file", "arrival", "off", "data")
+    return segments.join(data, ["file", "arrival"]).withColumn("bytes", F.substring("data", (F.col("start") - F.col("off") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))).drop("off", "data")
+
+
+def unstable_writes(writes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each unstable write (file, arrival, off, len, us) with the attributes it is answered with: the size
+    never shrinks and the time is after all before it in nanoseconds, whatever the clock; ``sizes``
+    (file, size, mtime_ns) is what the files had.  A file that isn't there has no answer."""
+    w = Window.partitionBy("file").orderBy("arrival")
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = writes.join(sizes, "file").withColumn("rn", F.row_number().over(w))
+    base = F.greatest(F.col("us") * 1000, F.col("mtime_ns"))
+    return rows.select(
+        "file", "arrival", F.greatest("size", F.max(F.col("off") + F.col("len")).over(past)).alias("size"), (F.max(base - F.col("rn")).over(past) + F.col("rn") + 1).alias("mtime_ns"),
+    )
+
+
 def commit_waits(commits: DataFrame, batches: DataFrame, bucket: int) -> DataFrame:
     """(commit, batch) whose ranges meet, through buckets of the range so that it is an equi-join."""
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor((F.col(b) - 1) / bucket)))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwood.functions.lineage import durable
 from driftwood.functions.scalars import approx_record_size
 
 BATCH_RECORDS, BATCH_BYTES = 512, 64 * 1024
@@ -34,8 +39,22 @@ def version_counter(journal: DataFrame) -> DataFrame:
     return journal.where("op = 'content'").withColumn("version", F.row_number().over(w))
 
 
+def numbered(rows: DataFrame, key: str, order: str, name: str, width: int = 8192) -> DataFrame:
+    """``rows`` with their place in their key by ``order``, a column of whole numbers, from 1.
+
+    Places are counted inside blocks of ``width`` values of ``order``, so no window holds a whole key; the
+    blocks' counts, one row each, are summed over the key.
+    """
+    at = rows.withColumn("__block", F.floor(F.col(order) / width))
+    counts = at.groupBy(key, "__block").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(key, "__block", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(key, "__block").orderBy(order))
+    return at.withColumn("__in", inside).join(counts, [key, "__block"]).withColumn(name, F.col("__before") + F.col("__in")).drop("__block", "__in", "__before")
+
+
 def share_seq(journal: DataFrame) -> DataFrame:
-    return journal.withColumn("share_seq", F.row_number().over(Window.partitionBy("share").orderBy("seq")))
+    return numbered(journal, "share", "seq", "share_seq")
 
 
 def gaps(batches: DataFrame) -> DataFrame:
@@ -48,10 +67,75 @@ def gaps(batches: DataFrame) -> DataFrame:
     return seen.where(F.col("expected").isNotNull() & (F.col("expected") != F.col("first_seq"))).select("share", "expected", F.col("first_seq").alias("got"), (F.col("first_seq") - F.col("expected")).alias("missing"))
 
 
-def micro_batches(journal: DataFrame, records: int = BATCH_RECORDS) -> DataFrame:
-    """Batches of up to ``records`` records of a share, with their sizes."""
-    size = approx_record_size(F.col("op"), F.col("name"))
-    return share_seq(journal).withColumn("batch", F.floor((F.col("share_seq") - 1) / records)).groupBy("share", "batch").agg(F.min("share_seq").alias("first_seq"), F.count("*").alias("n"), F.sum(size).alias("bytes"))
+def _ends(size: np.ndarray, records: int, max_bytes: int) -> np.ndarray:
+    """Where the batch that begins at each record ends, exclusive: the size is looked at before a record
+    is taken, so the batch ends with the record that reaches ``max_bytes``."""
+    total = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(len(size))
+    return np.minimum(np.searchsorted(total[:-1], total[:-1] + max_bytes, side="left"), at + records)
+
+
+def _links(records: int, max_bytes: int, block: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of each record at which a block's first batch can begin: where the next block's first one does."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("q")
+        first, own = int(pdf["home"].iloc[0]) * block + 1, int((pdf["q"] <= (pdf["home"].iloc[0] + 1) * block).sum())
+        to = _ends(pdf["size"].to_numpy(), records, max_bytes)
+        for i in range(own - 1, -1, -1):
+            if to[i] < own:
+                to[i] = to[to[i]]
+        n = min(records, own)
+        return pd.DataFrame({"share": pdf["share"].iloc[0], "a": first + np.arange(n), "b": first + to[:n]})
+
+    return run
+
+
+def _packed(records: int, max_bytes: int, block: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A block's batches from the one that begins at ``start``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("q")
+        own = int((pdf["q"] <= (pdf["home"].iloc[0] + 1) * block).sum())
+        size, q, out = pdf["size"].to_numpy(), pdf["q"].to_numpy(), []
+        to, at = _ends(size, records, max_bytes), int(pdf["start"].iloc[0] - q[0])
+        while at < own:
+            out.append((q[at], to[at] - at, int(size[at : to[at]].sum())))
+            at = to[at]
+        told = pd.DataFrame(out, columns=["first_seq", "n", "bytes"], dtype="int64")
+        told.insert(0, "share", pdf["share"].iloc[0])
+        return told
+
+    return run
+
+
+def micro_batches(journal: DataFrame, records: int = BATCH_RECORDS, max_bytes: int = BATCH_BYTES, block: int = 8192) -> DataFrame:
+    """(share, batch, first_seq, n, bytes): batches end at ``records`` records or when ``max_bytes`` is reached.
+
+    Where a batch begins depends on all before it.  So blocks of ``block`` records (with the records that
+    a batch can reach beyond) first tell where each of their possible first batches leads to in the next
+    block; these links are doubled until they span the share, from which each block knows its first batch
+    and packs its own.  A task never holds more than a block.
+    """
+    if block < records:
+        raise ValueError("a block is shorter than a batch")
+    rows = share_seq(journal.select("share", "seq", approx_record_size(F.col("op"), F.col("name")).cast("bigint").alias("size")))
+    home = F.floor((F.col("share_seq") - 1) / block)
+    reach = F.array_distinct(F.array(home, F.floor((F.greatest(F.col("share_seq") - records + 1, F.lit(1)) - 1) / block)))
+    sized = durable(rows.select("share", F.col("share_seq").alias("q"), "size", F.explode(reach).alias("home")))
+    starts = durable(sized.groupBy("share").agg(F.lit(1).cast("bigint").alias("q"), F.max("home").alias("last")))
+    blocks = (starts.agg(F.max("last")).first()[0] or 0) + 1
+    starts = starts.select("share", "q")
+    if blocks > 1:
+        links = durable(sized.groupBy("share", "home").applyInPandas(_links(records, max_bytes, block), "share bigint, a bigint, b bigint"))
+        for left in range((blocks - 1).bit_length(), 0, -1):
+            starts = durable(starts.unionByName(starts.join(links, (links["share"] == starts["share"]) & (links["a"] == starts["q"])).select(starts["share"], F.col("b").alias("q"))))
+            if left > 1:
+                onward = links.select(F.col("share").alias("s"), F.col("a").alias("m"), F.col("b").alias("to"))
+                links = durable(links.join(onward, (F.col("share") == F.col("s")) & (F.col("b") == F.col("m"))).select("share", "a", F.col("to").alias("b")))
+    begun = starts.select("share", F.floor((F.col("q") - 1) / block).alias("home"), F.col("q").alias("start"))
+    packed = sized.join(begun, ["share", "home"]).groupBy("share", "home").applyInPandas(_packed(records, max_bytes, block), "share bigint, first_seq bigint, n bigint, bytes bigint")
+    return numbered(packed, "share", "first_seq", "batch", width=block * 1024).withColumn("batch", F.col("batch") - 1)
 
 
 def coalesce_modify(journal: DataFrame, records: int = BATCH_RECORDS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwood.operators import cas
 from driftwood.sources import fixtures
+from driftwood.sources.fixtures import LINES_SQL
 
 from .registry import query
 
@@ -160,3 +161,35 @@ def commit_overlap(spark, sf_dir):
     f = F.col("file") % 40
     commits = r.select("file", f.alias("commit"), f.alias("c_off"), (f + 25).alias("c_end")).distinct()
     return cas.commit_waits(commits, batches, 16)
+
+
+_WRITES = f"""{LINES_SQL}, w AS (
+  SELECT l_suppkey AS file, l_orderkey * 1024 + ordinal AS arrival, (l_linenumber * 10 + l_orderkey % 97)::bigint AS off, l_quantity::bigint AS len, epoch_us(l_shipdate::timestamp) AS us FROM lines)"""
+
+
+def _writes(spark, sf_dir):
+    line = fixtures.lines(spark, sf_dir)
+    arrival = (F.col("l_orderkey") * 1024 + F.col("ordinal")).cast("bigint")
+    rows = line.select(F.col("l_suppkey").cast("bigint").alias("file"), arrival.alias("arrival"), (F.col("l_linenumber") * 10 + F.col("l_orderkey") % 97).cast("bigint").alias("off"), F.col("l_quantity").cast("bigint").alias("len"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"))
+    return rows.withColumn("data", F.repeat(F.md5(F.col("arrival").cast("string").cast("binary")), 2))
+
+
+@query(f"""WITH {_WRITES},
+edge AS (SELECT DISTINCT file, unnest([off, off + len]) AS pos FROM w WHERE len > 0), seg AS (SELECT file, pos AS s, lead(pos) OVER (PARTITION BY file ORDER BY pos) AS e FROM edge),
+top AS (SELECT seg.file, s, e, max(arrival) AS arrival FROM seg JOIN w ON w.file = seg.file AND w.off <= s AND w.off + w.len >= e GROUP BY ALL),
+cut AS (SELECT *, sum(fresh::int) OVER (PARTITION BY file, arrival ORDER BY s ROWS UNBOUNDED PRECEDING) AS piece FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY file, arrival ORDER BY s) <> s, true) AS fresh FROM top)),
+told AS (SELECT file, arrival, min(s) AS s, max(e) AS e FROM cut GROUP BY file, arrival, piece)
+SELECT told.file, s AS start, e AS "end", told.arrival, substring(repeat(md5(told.arrival::varchar), 2), (s - off + 1)::int, (e - s)::int) AS bytes FROM told JOIN w ON w.file = told.file AND w.arrival = told.arrival""")
+def write_overlay(spark, sf_dir):
+    """The bytes of each file after all its writes in their order of arrival: the newest write wins."""
+    w = _writes(spark, sf_dir)
+    return cas.overlay_bytes(cas.write_overlay(w), w)
+
+
+@query(f"""WITH {_WRITES}, z AS (SELECT s_suppkey AS file, abs(floor(s_acctbal))::bigint % 120 AS size, 900000000000000000::bigint AS mtime_ns FROM supplier WHERE s_suppkey % 5 <> 0),
+r AS (SELECT w.*, size AS size0, greatest(us * 1000, mtime_ns) AS base, row_number() OVER (PARTITION BY file ORDER BY arrival) AS rn FROM w JOIN z USING (file))
+SELECT file, arrival, greatest(size0, max(off + len) OVER p) AS size, max(base - rn) OVER p + rn + 1 AS mtime_ns FROM r WINDOW p AS (PARTITION BY file ORDER BY arrival ROWS UNBOUNDED PRECEDING)""")
+def write_unstable(spark, sf_dir):
+    """What each unstable write is answered with; files that aren't there have no answer."""
+    z = fixtures.read(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").cast("bigint").alias("file"), (F.abs(F.floor("s_acctbal")).cast("bigint") % 120).alias("size"), F.lit(900000000000000000).alias("mtime_ns"))
+    return cas.unstable_writes(_writes(spark, sf_dir), z)

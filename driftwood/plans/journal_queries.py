@@ -37,10 +37,17 @@ def journal_gap_report(spark, sf_dir):
 _SIZE = "CASE op WHEN 'created' THEN 48 + octet_length(encode(name)) WHEN 'removed' THEN 24 + octet_length(encode(name)) WHEN 'attr' THEN 64 WHEN 'content' THEN 40 ELSE 8 END"
 
 
-@query(f"""WITH {JOURNAL_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY share ORDER BY seq) AS q FROM journal)
-SELECT share, (q - 1) // 512 AS batch, min(q) AS first_seq, count(*) AS n, sum({_SIZE})::bigint AS bytes FROM s GROUP BY ALL""")
+#: A size that batches of 512 of these records reach now and then, so that both rules end batches.
+_FULL = 22_900
+
+
+@query(f"""WITH RECURSIVE {JOURNAL_SQL}, s AS (SELECT share, row_number() OVER (PARTITION BY share ORDER BY seq) AS q, ({_SIZE})::bigint AS size FROM journal),
+p AS (SELECT *, sum(size) OVER (PARTITION BY share ORDER BY q) - size AS before FROM s),
+e AS MATERIALIZED (SELECT share, q, least(512, count(*) OVER (PARTITION BY share ORDER BY before RANGE BETWEEN CURRENT ROW AND {_FULL - 1} FOLLOWING)) AS n FROM p),
+b AS (SELECT share, 0::bigint AS batch, q, n FROM e WHERE q = 1 UNION ALL SELECT e.share, batch + 1, e.q, e.n FROM b JOIN e ON e.share = b.share AND e.q = b.q + b.n)
+SELECT b.share, batch, b.q AS first_seq, n, sum(size)::bigint AS bytes FROM b JOIN s ON s.share = b.share AND s.q >= b.q AND s.q < b.q + b.n GROUP BY ALL""")
 def journal_microbatch(spark, sf_dir):
-    return journal.micro_batches(fixtures.journal(spark, sf_dir))
+    return journal.micro_batches(fixtures.journal(spark, sf_dir), max_bytes=_FULL)
 
 
 @query(f"WITH {JOURNAL_SQL} SELECT (seq - 1) // 512 AS batch, share, node_ino, min(seq) AS seq FROM journal WHERE in_progress GROUP BY ALL")

@@ -60,8 +60,9 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-SNAPSHOT_SQL = f"""lines AS (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_LINE_ORDER)}) AS ordinal FROM lineitem),
+LINES_SQL = f"""lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_LINE_ORDER)}) AS ordinal FROM lineitem)"""
+
+SNAPSHOT_SQL = f"""{LINES_SQL},
 snapshot AS (
   SELECT {ROOT}::bigint AS parent_ino, r_name AS name, {LEVEL} + r_regionkey AS ino, 'dir' AS kind, 0::bigint AS size, 493 AS mode, 0::bigint AS mtime_sec, 0::bigint AS seq FROM region
   UNION ALL SELECT {LEVEL} + n_regionkey, n_name, {2 * LEVEL} + n_nationkey, 'dir', 0, 493, 0, 0 FROM nation
