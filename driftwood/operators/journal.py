@@ -123,11 +123,11 @@ def micro_batches(journal: DataFrame, records: int = BATCH_RECORDS, max_bytes: i
     home = F.floor((F.col("share_seq") - 1) / block)
     reach = F.array_distinct(F.array(home, F.floor((F.greatest(F.col("share_seq") - records + 1, F.lit(1)) - 1) / block)))
     sized = durable(rows.select("share", F.col("share_seq").alias("q"), "size", F.explode(reach).alias("home")))
-    starts = durable(sized.groupBy("share").agg(F.lit(1).cast("bigint").alias("q"), F.max("home").alias("last")))
-    blocks = (starts.agg(F.max("last")).first()[0] or 0) + 1
-    starts = starts.select("share", "q")
+    starts = durable(sized.groupBy("share").agg(F.lit(1).cast("bigint").alias("q"), F.max("q").alias("end")))
+    blocks = ((starts.agg(F.max("end")).first()[0] or 1) - 1) // block + 1
+    ends, starts = starts.select("share", "end"), starts.select("share", "q")
     if blocks > 1:
-        links = durable(sized.groupBy("share", "home").applyInPandas(_links(records, max_bytes, block), "share bigint, a bigint, b bigint"))
+        links = durable(sized.groupBy("share", "home").applyInPandas(_links(records, max_bytes, block), "share bigint, a bigint, b bigint").join(ends, "share").where("b <= end").select("share", "a", "b"))
         for left in range((blocks - 1).bit_length(), 0, -1):
             starts = durable(starts.unionByName(starts.join(links, (links["share"] == starts["share"]) & (links["a"] == starts["q"])).select(starts["share"], F.col("b").alias("q"))))
             if left > 1:
