@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A copy in the folder of ``spark.checkpoint.dir``; where that is unset, in a temporary one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; where that is unset, as in
+    tests on one machine, a temporary one."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftwood-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A copy in the shared folder, without the lineage of ``df``."""
+    spark = df.sparkSession
+    shared_folder(spark)
     cut = df.checkpoint(eager=True)
     # A checkpointed frame keeps the size that was estimated for its plan.  Over a chain of joins the
     # estimates multiply to numbers of millions of digits, so the rows get a plan without one.
