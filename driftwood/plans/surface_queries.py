@@ -130,6 +130,29 @@ def lease_report(spark, sf_dir):
     return lease.report(_life(spark, sf_dir))
 
 
+_CAP = 40
+_LEASE_EVENTS = f"""{OPENS_SQL}, ev AS (SELECT node, seq, epoch_us(ts) AS us, kind, seq % 5 <> 0 AND seq % 7 <> 0 AS may, seq % 4 <> 0 AS bound, row_number() OVER (ORDER BY seq) AS n FROM leases)"""
+
+
+@query(f"""WITH RECURSIVE {_LEASE_EVENTS},
+w AS (
+  SELECT 0::bigint AS n, NULL::bigint AS node, NULL::bigint AS seq, 'none' AS effect, []::bigint[] AS held, []::bigint[] AS asked
+  UNION ALL
+  SELECT n, node, seq, effect,
+    CASE effect WHEN 'granted' THEN list_append(held, node) WHEN 'returned' THEN list_filter(held, lambda x: x <> node) WHEN 'revoked' THEN list_filter(held, lambda x: x <> node) ELSE held END,
+    CASE effect WHEN 'recalled' THEN list_append(asked, node) WHEN 'returned' THEN list_filter(asked, lambda x: x <> node) ELSE asked END
+  FROM (SELECT ev.n, ev.node, ev.seq, held, asked, CASE
+      WHEN kind = 'open' THEN CASE WHEN NOT may OR list_contains(held, ev.node) THEN 'none' WHEN len(held) < {_CAP} THEN 'granted' ELSE 'refused' END
+      WHEN NOT list_contains(held, ev.node) THEN 'none' WHEN kind = 'return' THEN 'returned' WHEN list_contains(asked, ev.node) THEN 'none' WHEN bound THEN 'recalled' ELSE 'revoked' END AS effect
+    FROM w JOIN ev ON ev.n = w.n + 1))
+SELECT node, seq, effect FROM w WHERE n > 0""")
+def lease_admission(spark, sf_dir):
+    """Leases under a cap of 40, with revocation."""
+    seq = F.col("seq")
+    events = fixtures.opens(spark, sf_dir).select("node", "seq", conflict.micros().alias("us"), "kind", ((seq % 5 != 0) & (seq % 7 != 0)).alias("may"), (seq % 4 != 0).alias("bound"))
+    return lease.admission(events, cap=_CAP, block=2000).select("node", "seq", "effect")
+
+
 @query(f"""{_LIFE}, k AS (SELECT node % 4 AS share, latency_us, row_number() OVER (PARTITION BY node % 4 ORDER BY latency_us) - 1 AS rn, count(*) OVER (PARTITION BY node % 4) AS n FROM life WHERE latency_us IS NOT NULL)
 SELECT share, max(n) AS n_samples, max(latency_us) FILTER (WHERE rn = floor((n - 1) * 0.5 + 0.5)) AS p50, max(latency_us) FILTER (WHERE rn = floor((n - 1) * 0.99 + 0.5)) AS p99, max(latency_us) AS max FROM k GROUP BY share""")
 def recall_percentiles(spark, sf_dir):
@@ -236,15 +259,8 @@ def identity_match(spark, sf_dir):
     return fixtures.read(spark, sf_dir, "events").select("event_id", discovery.identity_ok(F.when(i % 5 != 0, i % 7), F.when(i % 3 != 0, i % 11)).alias("ok"))
 
 
-@query("""WITH u AS (SELECT o_custkey % 97 AS ip, 0 AS source, o_orderkey AS no FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT s_suppkey % 120, 1, s_suppkey FROM supplier), b AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY source, no) AS rn FROM u) SELECT ip, source, no FROM b WHERE rn = 1""")
-def candidate_union(spark, sf_dir):
-    o = fixtures.read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select((F.col("o_custkey") % 97).alias("ip"), F.col("o_orderkey").alias("no"))
-    s = fixtures.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 120).alias("ip"), F.col("s_suppkey").alias("no"))
-    return discovery.candidates([o, s])
-
-
 @query("""WITH u AS (SELECT o_custkey % 97 AS ip, 0 AS source, o_orderkey AS no FROM orders UNION ALL SELECT s_suppkey % 120, 1, s_suppkey FROM supplier), b AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY source, no) AS rn FROM u) SELECT ip, source, no FROM b WHERE rn = 1""")
-def candidate_union_all(spark, sf_dir):
+def candidate_union(spark, sf_dir):
     """Candidates of all orders."""
     o = fixtures.read(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).alias("ip"), F.col("o_orderkey").alias("no"))
     s = fixtures.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 120).alias("ip"), F.col("s_suppkey").alias("no"))

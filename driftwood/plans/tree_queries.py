@@ -15,11 +15,6 @@ def _tree(spark, sf_dir):
     return tree.assemble(fixtures.snapshot(spark, sf_dir))
 
 
-def _upper(spark, sf_dir):
-    """The tree down to orders."""
-    return fixtures.snapshot(spark, sf_dir).where(F.col("ino") < 5 * LEVEL).where(F.col("ino") >= LEVEL).drop("seq").withColumn("seq", F.lit(0).cast("bigint"))
-
-
 @query(f"WITH {SNAPSHOT_SQL} SELECT parent_ino, name, ino, kind, size, mode, mtime_sec FROM tree")
 def snapshot_assemble(spark, sf_dir):
     return _tree(spark, sf_dir).select("parent_ino", "name", "ino", "kind", "size", "mode", "mtime_sec")
@@ -63,37 +58,14 @@ def tree_paths(spark, sf_dir):
     return tree.paths(_tree(spark, sf_dir), ROOT).select("ino", "path", "depth", "kind")
 
 
-@query(f"{PATHS_SQL} SELECT ino, path FROM paths WHERE ino >= {3 * LEVEL} AND ino < {4 * LEVEL} AND ino % 2 = 0 UNION ALL SELECT r_regionkey + 7, NULL FROM region")
-def path_of(spark, sf_dir):
-    """Customers with even keys, and ids that nothing holds."""
-    t = _upper(spark, sf_dir)
-    asked = t.where(f"ino >= {3 * LEVEL} AND ino < {4 * LEVEL} AND ino % 2 = 0").select("ino").unionByName(fixtures.read(spark, sf_dir, "region").select((F.col("r_regionkey") + 7).cast("bigint").alias("ino")))
-    return tree.path_of(t, asked, ROOT)
-
-
 @query(f"{PATHS_SQL} SELECT ino, path FROM paths UNION ALL SELECT r_regionkey + 7, NULL FROM region")
-def path_of_all(spark, sf_dir):
+def path_of(spark, sf_dir):
     """Every node of the whole tree, and ids that nothing holds."""
     t = _tree(spark, sf_dir)
     asked = t.select("ino").unionByName(spark.range(ROOT, ROOT + 1).withColumnRenamed("id", "ino")).unionByName(fixtures.read(spark, sf_dir, "region").select((F.col("r_regionkey") + 7).cast("bigint").alias("ino")))
     return tree.path_of(t, asked, ROOT)
 
 
-@query(f"""{PATHS_SQL},
-asked AS (SELECT DISTINCT unnest([CASE WHEN c_custkey % 4 = 0 THEN '/' || r_name || '//' || n_name || '/' || c_name ELSE '/' || r_name || '/' || n_name || '/' || c_name || 'x' END, '/' || r_name || '/../' || n_name, '/' || n_name, '/' || r_name || '/' || n_name || '/' || s_name || '/deep']) AS path
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE c_custkey % 10 = 0),
-clean AS (SELECT path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM asked),
-hit AS (SELECT c.path, p.ino, list_contains(parts, '..') OR list_contains(parts, '.') AS bad FROM clean c LEFT JOIN paths p ON p.path = '/' || array_to_string(parts, '/')),
-under AS (SELECT DISTINCT path FROM (SELECT path, '/' || array_to_string(parts[:n], '/') AS prefix FROM clean, range(1, 6) r(n) WHERE n <= len(parts)) x WHERE prefix IN (SELECT path FROM paths WHERE kind <> 'dir'))
-SELECT hit.path, CASE WHEN NOT bad THEN ino END AS ino, CASE WHEN bad THEN 'badpath' WHEN ino IS NOT NULL THEN 'ok' WHEN under.path IS NOT NULL THEN 'notdir' ELSE 'noent' END AS status
-FROM hit LEFT JOIN under ON under.path = hit.path""")
-def resolve_path(spark, sf_dir):
-    read = lambda n: fixtures.read(spark, sf_dir, n)
-    j = read("customer").where("c_custkey % 10 = 0").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).join(read("supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
-    asked = j.select(F.explode(F.array(F.expr("CASE WHEN c_custkey % 4 = 0 THEN '/' || r_name || '//' || n_name || '/' || c_name ELSE '/' || r_name || '/' || n_name || '/' || c_name || 'x' END"), F.expr("'/' || r_name || '/../' || n_name"), F.expr("'/' || n_name"), F.expr("'/' || r_name || '/' || n_name || '/' || s_name || '/deep'"))).alias("path"))
-    return tree.resolve(tree.paths(_tree(spark, sf_dir), ROOT), asked)
-
-
 @query(f"""{PATHS_SQL},
 asked AS (SELECT DISTINCT unnest([path, '/' || path, path || 'x', path || '/deep', path || '/../a']) AS path FROM paths WHERE ino >= {3 * LEVEL}),
 clean AS (SELECT path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM asked),
@@ -101,7 +73,7 @@ hit AS (SELECT c.path, p.ino, list_contains(parts, '..') OR list_contains(parts,
 under AS (SELECT DISTINCT path FROM (SELECT path, '/' || array_to_string(parts[:n], '/') AS prefix FROM clean, range(1, 9) r(n) WHERE n <= len(parts)) x WHERE prefix IN (SELECT path FROM paths WHERE kind <> 'dir'))
 SELECT hit.path, CASE WHEN NOT bad THEN ino END AS ino, CASE WHEN bad THEN 'badpath' WHEN ino IS NOT NULL THEN 'ok' WHEN under.path IS NOT NULL THEN 'notdir' ELSE 'noent' END AS status
 FROM hit LEFT JOIN under ON under.path = hit.path""")
-def resolve_path_all(spark, sf_dir):
+def resolve_path(spark, sf_dir):
     """The path of every customer, supplier, order and line, from the tables, with misses beside each."""
     read = lambda n: fixtures.read(spark, sf_dir, n)
     nation = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws("/", F.lit(""), "r_name", "n_name").alias("n_path"))
@@ -130,20 +102,11 @@ def ancestors_of(spark, sf_dir):
     return p.where("depth = 2").join(low, F.col("path") == F.col("a")).select("ino", "descendants")
 
 
-@query(f"""WITH RECURSIVE {SNAPSHOT_SQL},
-upper AS (SELECT * FROM tree WHERE ino < {5 * LEVEL} OR ino >= {6 * LEVEL}),
-dead AS (SELECT ino FROM upper WHERE parent_ino = {2 * LEVEL + 3} OR ino = {LEVEL + 1} UNION SELECT u.ino FROM upper u JOIN dead d ON u.parent_ino = d.ino)
-SELECT kind, count(*) AS entries, count(DISTINCT parent_ino) AS parents FROM upper WHERE ino NOT IN (SELECT ino FROM dead) GROUP BY kind""")
-def subtree_gc(spark, sf_dir):
-    """One region and all of a nation's entries are removed; what hung below goes too."""
-    return _collected(_tree(spark, sf_dir).where(f"ino < {5 * LEVEL} OR ino >= {6 * LEVEL}"))
-
-
 @query(f"""WITH RECURSIVE {SNAPSHOT_SQL},
 dead AS (SELECT ino FROM tree WHERE parent_ino = {2 * LEVEL + 3} OR ino = {LEVEL + 1} UNION SELECT t.ino FROM tree t JOIN dead d ON t.parent_ino = d.ino)
 SELECT kind, count(*) AS entries, count(DISTINCT parent_ino) AS parents FROM tree WHERE ino NOT IN (SELECT ino FROM dead) GROUP BY kind""")
-def subtree_gc_all(spark, sf_dir):
-    """The same removal from the whole tree, lines included."""
+def subtree_gc(spark, sf_dir):
+    """One region and all of a nation's entries are removed from the whole tree; what hung below goes too."""
     return _collected(_tree(spark, sf_dir))
 
 

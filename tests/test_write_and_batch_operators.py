@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwood.operators import cas, histogram, journal
+from driftwood.operators import cas, histogram, journal, lease
 
 
 def plain_batches(sizes: list[int], records: int, max_bytes: int) -> list[tuple[int, int, int]]:
@@ -81,3 +81,39 @@ def test_unstable_writes_grow_and_move_on(spark):
     z = spark.createDataFrame([(1, 9, 10_000)], "file bigint, size bigint, mtime_ns bigint")
     got = sorted((r["arrival"], r["size"], r["mtime_ns"]) for r in cas.unstable_writes(w, z).collect())
     assert got == [(1, 9, 10_001), (2, 25, 10_002), (3, 25, 10_003)]
+
+
+def plain_leases(events: list[tuple], cap: int) -> list[tuple]:
+    held: dict[int, int | None] = {}
+    out = []
+    for node, seq, us, kind, may, bound in events:
+        effect, latency = "none", None
+        if kind == "open" and may and node not in held:
+            effect = "granted" if len(held) < cap else "refused"
+            if effect == "granted":
+                held[node] = None
+        elif kind == "return" and node in held:
+            effect, at = "returned", held.pop(node)
+            latency = None if at is None else us - at
+        elif kind == "inval" and node in held and held[node] is None:
+            effect = "recalled" if bound else "revoked"
+            if bound:
+                held[node] = us
+            else:
+                del held[node]
+        out.append((seq, node, effect, latency))
+    return out
+
+
+@pytest.mark.parametrize(("cap", "block", "busy"), [(3, 10, 30), (6, 25, 12), (1000, 10, 30), (5, 1000, 30)])
+def test_leases_under_a_cap(spark, cap, block, busy):
+    rng = random.Random(cap)
+    rows = []
+    for seq in range(300):
+        calm = seq % 100 < 50  # few nodes, so that runs with and without the cap take turns
+        kind = rng.choice(["open", "open", "inval", "return"])
+        rows.append((rng.randrange(2 if calm else busy), seq, 1000 * seq, kind, rng.random() < 0.8, rng.random() < 0.7))
+    df = spark.createDataFrame(rows, "node bigint, seq bigint, us bigint, kind string, may boolean, bound boolean").repartition(3)
+    got = lease.admission(df, cap, block).orderBy("seq").collect()
+    assert [(r["seq"], r["node"], r["effect"], r["latency_us"]) for r in got] == plain_leases(rows, cap)
+    assert lease.admission(df.limit(0), cap, block).count() == 0
