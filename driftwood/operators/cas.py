@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwood.functions.lineage import durable
+
 CHUNK = 4 << 20
 EVICT_TO, PROTECT_SECONDS, TOUCH_SECONDS, DIRTY_SECONDS = 0.9, 600, 3600, 5
 
@@ -94,6 +96,48 @@ def scrub(stored: DataFrame) -> DataFrame:
     return stored.agg(F.count("*").alias("checked"), F.count_if(corrupt).alias("corrupt"), F.count_if(missing).alias("missing"))
 
 
+def scrub_and_drop(stored: DataFrame, sample: int = 0) -> DataFrame:
+    """Each blob (hash, data, len) that is looked at with its state: ok, corrupt or missing; the last two
+    are to be dropped (``kept``).  ``sample`` takes so many by hash; 0 takes all."""
+    looked = stored if sample == 0 else stored.orderBy("hash").limit(sample)
+    state = F.when(F.col("data").isNull(), "missing").when(F.sha2("data", 256) != F.col("hash"), "corrupt").otherwise("ok")
+    return looked.select("hash", "len", state.alias("state"))
+
+
+def kept(stored: DataFrame, looked: DataFrame) -> DataFrame:
+    """What a scrub or a verified read leaves in the store."""
+    return stored.join(looked.where("state <> 'ok'").select("hash").distinct(), "hash", "left_anti")
+
+
+def verified_read(asked: DataFrame, stored: DataFrame, verify: bool = True) -> DataFrame:
+    """``asked`` (req, hash, off, len) with n, bytes and the blob's state; a blob that is missing or, if
+    ``verify``, has another hash than its own gives null, as after its drop."""
+    state = F.when(F.col("data").isNull(), "missing").when(F.lit(verify) & (F.sha2("data", 256) != F.col("hash")), "corrupt").otherwise("ok")
+    # A blob is hashed once, however often it is read.
+    told = stored.join(asked.select("hash").distinct(), "hash", "left_semi").select("hash", "data", state.alias("state"))
+    hit = asked.join(told, "hash", "left").withColumn("state", F.coalesce("state", F.lit("missing")))
+    fine = F.col("state") == "ok"
+    n = F.greatest(F.lit(0), F.least(F.octet_length("data").cast("bigint"), F.col("off") + F.col("len")) - F.col("off"))
+    part = F.substring("data", (F.col("off") + 1).cast("int"), n.cast("int"))
+    return hit.select("req", "hash", "off", F.when(fine, n).alias("n"), F.when(fine, part).alias("bytes"), "state")
+
+
+def drop_share(manifest: DataFrame, share: int) -> DataFrame:
+    """The manifest without a share's rows: after a reseed its versions start again."""
+    return manifest.where(F.col("share") != share)
+
+
+def ingest(found: DataFrame, known: DataFrame, now: int, max_bytes: int) -> DataFrame:
+    """The store (hash, len, last, fresh) after the chunks ``found`` (hash, len) have come to ``known``
+    (hash, len, last): new blobs are accounted, known ones touched, and what is over ``max_bytes`` goes, the
+    longest unused first."""
+    new = found.groupBy("hash").agg(F.max("len").alias("new_len"))
+    both = known.join(new, "hash", "full_outer")
+    rows = durable(both.select("hash", F.coalesce("len", "new_len").alias("len"), F.when(F.col("new_len").isNotNull(), F.lit(now)).otherwise(F.col("last")).cast("bigint").alias("last"), F.col("len").isNull().alias("fresh")))
+    total = rows.agg(F.sum("len")).first()[0] or 0
+    return rows if total <= max_bytes else rows.join(evict(rows.select("hash", "len", "last"), now, max_bytes).select("hash"), "hash", "left_anti")
+
+
 def read_range(blobs: DataFrame, off: str = "off", length: str = "len") -> DataFrame:
     """n bytes from an offset, and eof; short at the end of the blob."""
     size = F.octet_length("data").cast("bigint")

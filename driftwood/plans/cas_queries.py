@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftwood.operators import cas
+from driftwood.operators import cas, command
 from driftwood.sources import fixtures
 from driftwood.sources.fixtures import LINES_SQL
 
@@ -193,3 +193,57 @@ def write_unstable(spark, sf_dir):
     """What each unstable write is answered with; files that aren't there have no answer."""
     z = fixtures.read(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").cast("bigint").alias("file"), (F.abs(F.floor("s_acctbal")).cast("bigint") % 120).alias("size"), F.lit(900000000000000000).alias("mtime_ns"))
     return cas.unstable_writes(_writes(spark, sf_dir), z)
+
+
+def _damaged(spark, sf_dir):
+    """Stored blobs; of those first seen in every tenth node the last byte is wrong, those of the next are lost."""
+    s = _chunks(spark, sf_dir).groupBy("hash").agg(F.min("node").alias("node"), F.min_by("data", "node").alias("data"), F.max("len").alias("len"))
+    data = F.when(F.col("node") % 10 == 1, F.concat(F.expr("substring(data, 1, octet_length(data) - 1)"), F.lit(b"\x00"))).when(F.col("node") % 10 != 2, F.col("data"))
+    return s.select("hash", data.alias("data"), "len")
+
+
+_STATES = "st AS (SELECT hash, max(len) AS len, CASE min(node) % 10 WHEN 1 THEN 'corrupt' WHEN 2 THEN 'missing' ELSE 'ok' END AS state FROM chunk GROUP BY hash)"
+
+
+@query(f"""WITH {_CHUNKS}, {_STATES}
+SELECT state, count(*) AS blobs, sum(len)::bigint AS bytes, state = 'ok' AS kept FROM st GROUP BY state""")
+def cas_scrub_drop(spark, sf_dir):
+    """A scrub of all blobs, and what is left of them."""
+    stored = _damaged(spark, sf_dir)
+    looked = cas.scrub_and_drop(stored)
+    left = cas.kept(stored, looked).select("hash", F.lit(True).alias("kept"))
+    return looked.join(left, "hash", "left").groupBy("state", F.coalesce("kept", F.lit(False)).alias("kept")).agg(F.count("*").alias("blobs"), F.sum("len").alias("bytes"))
+
+
+@query(f"""WITH {_CHUNKS}, {_STATES}, q AS (SELECT node, off, hash, (node * 37 % 900)::bigint AS lo FROM chunk)
+SELECT node, q.off, state, CASE WHEN state = 'ok' THEN greatest(0, least(c.len, lo + 100) - lo) END::bigint AS n, CASE WHEN state = 'ok' THEN sha256(c.data[q.off + lo + 1 : q.off + least(c.len, lo + 100)]) END AS bytes_sha256
+FROM q JOIN st USING (hash) JOIN (SELECT chunk.node, chunk.off, chunk.len, blob.data FROM chunk JOIN blob ON blob.node = chunk.node) c USING (node, off)""")
+def cas_verified_reads(spark, sf_dir):
+    """A hundred bytes of each chunk of each manifest, out of blobs that are hashed before they are read."""
+    asked = _chunks(spark, sf_dir).select(F.struct("node", "off").alias("req"), "hash", (F.col("node") * 37 % 900).cast("bigint").alias("off"), F.lit(100).cast("bigint").alias("len"))
+    got = cas.verified_read(asked, _damaged(spark, sf_dir))
+    return got.select("req.node", "req.off", "state", "n", F.sha2("bytes", 256).alias("bytes_sha256"))
+
+
+@query(f"""WITH {_CHUNKS}, k AS (SELECT hash, max(len) AS len, 1700000000 + max(node) * 10 AS last FROM chunk WHERE node % 3 = 0 GROUP BY hash), f AS (SELECT hash, max(len) AS len FROM chunk WHERE node % 3 <> 0 GROUP BY hash),
+r AS (SELECT hash, coalesce(k.len, f.len) AS len, CASE WHEN f.hash IS NOT NULL THEN 1800000000 ELSE last END AS last, k.hash IS NULL AS fresh FROM k FULL JOIN f USING (hash)),
+a AS (SELECT *, last <= 1800000000 - 600 AS free, sum(len) OVER () AS total, (SELECT sum(len) * 9 // 10 FROM r) AS cap FROM r),
+b AS (SELECT *, coalesce(sum(CASE WHEN free THEN len END) OVER (ORDER BY last, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p1, floor(cap * 0.9) AS target FROM a),
+c AS (SELECT *, free AND total - p1 > target AS x1 FROM b),
+d AS (SELECT *, coalesce(sum(CASE WHEN x1 THEN len END) OVER (), 0) AS freed, coalesce(sum(CASE WHEN NOT x1 THEN len END) OVER (ORDER BY last, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p2 FROM c)
+SELECT hash, len::bigint AS len, last::bigint AS last, fresh FROM d WHERE NOT (x1 OR (total - freed > cap AND total - freed - p2 > target))""")
+def cas_ingest_chain(spark, sf_dir):
+    """The store after two thirds of the nodes have come to that of the others, with room for nine tenths of both."""
+    c = _chunks(spark, sf_dir).select("node", "hash", "len")
+    known = c.where("node % 3 = 0").groupBy("hash").agg(F.max("len").alias("len"), (1700000000 + F.max("node") * 10).alias("last"))
+    room = c.groupBy("hash").agg(F.max("len").alias("len")).agg(F.floor(F.sum("len") * 9 / 10)).first()[0] or 0
+    return cas.ingest(c.where("node % 3 <> 0"), known, 1800000000, room)
+
+
+@query("""SELECT doc_id, coalesce(lang, '') <> 'fr' AS ok, CASE WHEN ok THEN octet_length(encode(coalesce(text, ''))) END AS size, CASE WHEN ok THEN least(octet_length(encode(coalesce(text, ''))), 4096) END AS returned,
+  CASE WHEN ok THEN octet_length(encode(coalesce(text, ''))) > 4096 END AS truncated, CASE WHEN ok THEN md5(base64(encode(coalesce(text, ''))[1:4096])) END AS data_md5, CASE WHEN NOT ok THEN 'not a regular file' END AS error FROM documents""")
+def cat_files(spark, sf_dir):
+    """Each document as a file, those in one language as something else; 4096 bytes at most."""
+    d = fixtures.read(spark, sf_dir, "documents")
+    files = d.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"), F.when(F.col("lang") == "fr", "fifo").otherwise("file").alias("kind"))
+    return command.cat(files, 4096).select("doc_id", "ok", "size", "returned", "truncated", F.md5(F.col("data_b64").cast("binary")).alias("data_md5"), "error")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftwood.operators import tree
+from driftwood.functions.lineage import durable
+from driftwood.operators import command, tree
 from driftwood.sources import fixtures
 from driftwood.sources.fixtures import LEVEL, LINES, PATHS_SQL, ROOT, SNAPSHOT_SQL
 
@@ -172,3 +173,37 @@ def stat_batch(spark, sf_dir):
     base = 5 * LEVEL + F.col("o_orderkey") * LINES
     keys = fixtures.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch"), F.array(*((base + x).cast("bigint") for x in (2, 1, 900))).alias("inos"))
     return tree.stat_batch(nodes, keys).select("batch", "pos", "ino", "kind", "size")
+
+
+_WANTED = f"""wanted AS (SELECT DISTINCT path FROM (SELECT unnest([path, path || '/', '/' || path || 'x', path || '/./a']) AS path FROM paths WHERE ino < {5 * LEVEL} OR ino >= {6 * LEVEL}))"""
+
+
+def _wanted(p):
+    path = F.col("path")
+    return p.where(f"ino < {5 * LEVEL} OR ino >= {6 * LEVEL}").select(F.explode(F.array(path, F.concat(path, F.lit("/")), F.concat(F.lit("/"), path, F.lit("x")), F.concat(path, F.lit("/./a")))).alias("path")).distinct()
+
+
+@query(f"""{PATHS_SQL}, {_WANTED}, n AS (SELECT ino, max(mode) AS mode, max(mtime_sec) AS mtime_sec FROM tree GROUP BY ino),
+c AS (SELECT path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM wanted), h AS (SELECT c.path, list_contains(parts, '.') AS bad, p.ino, p.kind, p.size FROM c LEFT JOIN paths p ON p.path = '/' || array_to_string(parts, '/')),
+r AS (SELECT *, NOT bad AND ino IS NOT NULL AS ok FROM h)
+SELECT r.path, ok, CASE WHEN ok THEN r.ino END AS ino, CASE WHEN ok THEN r.kind END AS kind, CASE WHEN ok THEN r.size END AS size, CASE WHEN ok THEN mode END AS mode, CASE WHEN ok THEN mtime_sec END AS mtime_sec,
+  CASE WHEN NOT ok THEN r.path || CASE WHEN bad THEN ': invalid path' ELSE ': no such entry' END END AS error FROM r LEFT JOIN n ON n.ino = r.ino""")
+def stat_paths(spark, sf_dir):
+    """The attributes of every directory and supplier by path, with misses and invalid paths beside each."""
+    t = durable(_tree(spark, sf_dir))
+    p = durable(tree.paths(t, ROOT))
+    # The root has no entry, so its attributes are its path's alone.
+    attrs = p.select("ino", "kind", "size").join(t.select("ino", "mode", "mtime_sec"), "ino", "left")
+    return command.stat(p, attrs, _wanted(p)).select("path", "ok", "ino", "kind", "size", "mode", "mtime_sec", "error")
+
+
+@query(f"""{PATHS_SQL}, {_COOKIES}, d AS (SELECT path, ino, kind FROM paths WHERE ino < {5 * LEVEL} OR ino >= {6 * LEVEL}),
+e AS (SELECT *, row_number() OVER (PARTITION BY parent_ino ORDER BY cookie) AS place, count(*) OVER (PARTITION BY parent_ino) AS n FROM c)
+SELECT d.path, place, e.name, e.kind, e.size, n > 20 AS truncated FROM d JOIN e ON e.parent_ino = d.ino WHERE place <= 20
+UNION ALL SELECT path, 1, string_split(path, '/')[-1], kind, (SELECT max(size) FROM tree WHERE tree.ino = d.ino), false FROM d WHERE kind <> 'dir'""")
+def ls_paths(spark, sf_dir):
+    """Listings of every directory, twenty entries at most; suppliers list themselves."""
+    t = durable(tree.with_cookies(_tree(spark, sf_dir)))
+    p = durable(tree.paths(t, ROOT))
+    wanted = p.where(f"ino < {5 * LEVEL} OR ino >= {6 * LEVEL}").select("path")
+    return command.ls(p, t, p.select("ino", "size"), wanted, 20)
