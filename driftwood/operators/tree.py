@@ -149,6 +149,24 @@ def page_bytes(entries: DataFrame, after: int, max_bytes: int, plus: bool = True
     return shown.withColumn("eof", F.col("eof") & ~cut).where(F.col("used") <= max_bytes)
 
 
+#: A reply record's bytes at most, and what of them isn't entries.
+MAX_RECORD, RECORD_REST = 2 << 20, 512
+
+
+def page_v4(entries: DataFrame, after: int, max_bytes: int, attr_bytes: int) -> DataFrame:
+    """Pages sized by their encoding: an entry is its cookie, its name padded to words and ``attr_bytes`` of
+    attributes, with a mark before it; the page ends before the first that doesn't fit with the end's marks.
+
+    Cookies are 3 at least.  A directory whose first entry doesn't fit has no rows.
+    """
+    size = F.lit(8 + 4 + attr_bytes) + F.ceil(F.octet_length("name") / 4) * 4
+    w = Window.partitionBy("parent_ino").orderBy("cookie")
+    before = F.coalesce(F.sum(size + 4).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shown = page(entries, after, 4096).withColumn("fits", before + size + 8 <= min(max_bytes, MAX_RECORD - RECORD_REST))
+    cut = F.min(F.col("fits").cast("int")).over(Window.partitionBy("parent_ino")) == 0
+    return shown.withColumn("eof", F.col("eof") & ~cut).where("fits").drop("fits").withColumn("cookie", F.greatest("cookie", F.lit(3)))
+
+
 def lookup(tree: DataFrame, asked: DataFrame) -> DataFrame:
     """(parent_ino, name) asked for, with ino and status ok, noent or notdir."""
     kinds = tree.select(F.col("ino").alias("d"), (F.col("kind") == "dir").alias("is_dir")).distinct()

@@ -207,3 +207,11 @@ def ls_paths(spark, sf_dir):
     p = durable(tree.paths(t, ROOT))
     wanted = p.where(f"ino < {5 * LEVEL} OR ino >= {6 * LEVEL}").select("path")
     return command.ls(p, t, p.select("ino", "size"), wanted, 20)
+
+
+@query(f"""WITH {SNAPSHOT_SQL}, {_COOKIES}, z AS (SELECT *, 8 + 4 + 84 + ((octet_length(encode(name)) + 3) // 4) * 4 AS b, row_number() OVER (PARTITION BY parent_ino ORDER BY cookie) AS rn, count(*) OVER (PARTITION BY parent_ino) AS n FROM c WHERE cookie > 4),
+f AS (SELECT *, coalesce(sum(b + 4) OVER (PARTITION BY parent_ino ORDER BY cookie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + b + 8 <= 2048 AS fits FROM z WHERE rn <= 4096)
+SELECT parent_ino, name, cookie, n <= 4096 AND bool_and(fits) OVER (PARTITION BY parent_ino) AS eof FROM f QUALIFY fits""")
+def dir_page_v4(spark, sf_dir):
+    """Each directory's page after cookie 4 in 2048 bytes, with 84 bytes of attributes an entry."""
+    return tree.page_v4(tree.with_cookies(_tree(spark, sf_dir)), 4, 2048, 84).select("parent_ino", "name", "cookie", "eof")
