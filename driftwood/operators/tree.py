@@ -63,13 +63,18 @@ def paths(tree: DataFrame, root: int = 1, max_depth: int = MAX_DEPTH) -> DataFra
     return out
 
 
-def path_of(tree: DataFrame, nodes: DataFrame, root: int = 1, max_depth: int = MAX_DEPTH) -> DataFrame:
+def path_of(tree: DataFrame, nodes: DataFrame, root: int = 1, max_depth: int = MAX_DEPTH, parents: DataFrame | None = None) -> DataFrame:
     """(ino, path) of each node of ``nodes`` by climbing to the root; null if it isn't reached.
 
-    The name at each step is the first live entry by cookie (here: the least name's entry of the
-    parent); all nodes climb together.
+    A node with several entries climbs to its own parent (``parents``: ino, own) and has there the name of
+    its first entry by ``cookie``; a node without an entry there isn't reached.  Without ``parents`` or
+    cookies any parent is its own and the least name is the first.  All nodes climb together.
     """
-    up = tree.groupBy("ino").agg(F.min(F.struct("name", "parent_ino")).alias("x")).select(F.col("ino").alias("__i"), "x.name", "x.parent_ino")
+    if parents is not None:
+        own = parents.select(F.col("ino").alias("__n"), F.col("own").alias("__own"))
+        tree = tree.join(own, (F.col("ino") == F.col("__n")) & (F.col("parent_ino") == F.col("__own")))
+    order = ["cookie", "name", "parent_ino"] if "cookie" in tree.columns else ["name", "parent_ino"]
+    up = durable(tree.groupBy("ino").agg(F.min(F.struct(*order)).alias("x")).select(F.col("ino").alias("__i"), "x.name", "x.parent_ino"))
     state = nodes.select("ino").distinct().select("ino", F.col("ino").alias("at"), F.lit("").alias("tail"))
     done = None
     for _ in range(max_depth):

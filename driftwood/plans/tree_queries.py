@@ -61,10 +61,16 @@ def tree_paths(spark, sf_dir):
 
 @query(f"{PATHS_SQL} SELECT ino, path FROM paths UNION ALL SELECT r_regionkey + 7, NULL FROM region")
 def path_of(spark, sf_dir):
-    """Every node of the whole tree, and ids that nothing holds."""
-    t = _tree(spark, sf_dir)
+    """Every node of the whole tree, and ids that nothing holds.  Every third part's line has a later name in
+    its order and one elsewhere; neither is its path."""
+    t = durable(_tree(spark, sf_dir))
+    linked = fixtures.lines(spark, sf_dir).where("l_partkey % 3 = 0").select((5 * LEVEL + F.col("l_orderkey") * LINES + F.col("ordinal")).cast("bigint").alias("ino"), (2 * LEVEL + F.col("l_suppkey") % 25).cast("bigint").alias("else"))
+    linked = t.join(linked, "ino")
+    later = F.lit(1 << 20).cast("bigint") + F.col("seq")
+    more = [linked.withColumns({"seq": later, "parent_ino": at, "name": F.concat(F.lit(mark), F.col("ino").cast("string"))}).drop("else") for at, mark in ((F.col("parent_ino"), "!"), (F.col("else"), "!!"))]
+    entries = tree.with_cookies(t.unionByName(more[0]).unionByName(more[1]))
     asked = t.select("ino").unionByName(spark.range(ROOT, ROOT + 1).withColumnRenamed("id", "ino")).unionByName(fixtures.read(spark, sf_dir, "region").select((F.col("r_regionkey") + 7).cast("bigint").alias("ino")))
-    return tree.path_of(t, asked, ROOT)
+    return tree.path_of(entries, asked, ROOT, parents=t.select("ino", F.col("parent_ino").alias("own")))
 
 
 @query(f"""{PATHS_SQL},
