@@ -46,7 +46,9 @@ _HAS = {
     "assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
     "access": r"AKIA[A-Z0-9]{12}",
     "hex": r"[0-9a-f]{32}",
-    "literal": r"(?i)pass|pwd|secret|token|key|credential|auth|bearer|signature|salt|://[^/\s:@]+:",
+    # Every sensitive name has one of these; the short ones, which many words hold, stand there as words of their own.
+    "literal": r"(?i:pass|pwd|secret|token|key|credential|auth|bearer|signature|salt|cookie|session|://[^/\s:@]+:)"
+    r"|(?:^|[\W_]|[^\x00-\x7F])(?i:pat|otp|pin)(?:[\W_A-Z]|[^\x00-\x7F]|$)|[a-z0-9](?:P(?i:at|in)|O(?i:tp))(?:[\W_A-Z]|[^\x00-\x7F]|$)",
 }
 
 _TOKEN = re.compile(

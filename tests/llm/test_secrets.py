@@ -82,3 +82,18 @@ def test_long_texts_take_linear_time(text):
     began = time.process_time()
     secrets.spans(text)
     assert time.process_time() - began < 5
+
+
+#: The words of sensitive names, one after the other, and names in which the short ones stand.
+NAMES = "password passwd passphrase passcode pwd secret secrets credential credentials api_key privateKey signing-key encryption_key apikey token bearer authorization authtoken pass pat salt signature auth cookie session otp pin key".split()
+NAMES += ["userPin", "USER_PIN", "pinValue", "gh-pat", "otpCode", "myOtp", "my.pat", "Set-Cookie", "éclair_pin", "pin_é", "SessionKey"]
+
+
+def test_every_sensitive_name_is_looked_at(spark):
+    names = NAMES + [n.upper() for n in NAMES[:25]]
+    assert all(secrets.name_score(n) >= 0.7 for n in names), [n for n in names if secrets.name_score(n) < 0.7]
+    texts = [f'{n} = "Zx81kQw92Lm4Rt7yBv35"' for n in names] + ["<pin>Zx81kQw92Lm4Rt7yBv35</pin>", "run --otp Zx81kQw92Lm4Rt7yBv35"]
+    rows = secrets.find(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), keep=["i"]).collect()
+    for r in rows:
+        assert [tuple(s) for s in r["secrets"]] == secrets.spans(texts[r["i"]]), texts[r["i"]]
+        assert r["secrets"], texts[r["i"]]
