@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A copy in the shared folder, without the lineage of ``df``."""
+    """A copy in the shared folder, without the lineage of ``df``.
+
+    Shuffle files that only earlier copies needed are let go first: they stay until the driver's JVM
+    collects garbage, which by itself can be after the query.
+    """
     spark = df.sparkSession
     shared_folder(spark)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     cut = df.checkpoint(eager=True)
     # A checkpointed frame keeps the size that was estimated for its plan.  Over a chain of joins the
     # estimates multiply to numbers of millions of digits, so the rows get a plan without one.

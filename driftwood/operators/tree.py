@@ -91,17 +91,32 @@ def resolve(all_paths: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Empty components are skipped; ``.`` and ``..`` are bad.  What lies under a file is notdir.
     """
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    q = wanted.select("path").distinct().withColumn("parts", parts)
-    q = q.withColumn("bad", F.exists("parts", lambda x: x.isin(".", ".."))).withColumn("clean", F.concat(F.lit("/"), F.array_join("parts", "/")))
-    known = all_paths.select(F.col("path").alias("p"), F.col("ino").alias("i"), F.col("kind").alias("k"))
-    hit = q.join(known, F.col("clean") == F.col("p"), "left")
-    # The longest known prefix of a miss tells notdir from noent.
-    miss = hit.where(F.col("i").isNull() & ~F.col("bad")).select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, n), "/")))).alias("prefix"))
-    under = miss.join(known.where("k <> 'dir'"), F.col("prefix") == F.col("p"), "left_semi").select(F.col("path").alias("u")).distinct()
-    out = hit.select("path", "i", "bad").join(under, F.col("path") == F.col("u"), "left")
-    status = F.when(F.col("bad"), "badpath").when(F.col("i").isNotNull(), "ok").when(F.col("u").isNotNull(), "notdir").otherwise("noent")
-    return out.select("path", F.when(~F.col("bad"), F.col("i")).alias("ino"), status.alias("status"))
+    slash = F.lit("/")
+    bad = F.exists(F.split("path", "/"), lambda x: x.isin(".", ".."))
+    clean = F.concat(slash, F.array_join(F.filter(F.split("path", "/"), lambda x: x != ""), "/"))
+    # Rows are joined by a hash of the path: paths begin alike and are slow to sort by.  That the paths are
+    # equal too is no key, so the rows that are told apart by hash stay where they are.
+    hashed = lambda c: F.xxhash64(c)
+    same = lambda a: (F.col("p") <= a) & (F.col("p") >= a)
+    bad = F.coalesce(bad, F.lit(False))
+    q = wanted.where(~bad).select("path", hashed(clean).alias("h")).repartition("h").dropDuplicates(["h", "path"])
+    known = all_paths.select(F.col("path").alias("p"), F.col("ino").alias("i"), F.col("kind").alias("k")).withColumn("ph", hashed("p"))
+    hit = q.join(known.drop("k"), (F.col("h") == F.col("ph")) & same(clean), "left")
+    none = F.lit(None).cast(all_paths.schema["ino"].dataType).alias("ino")
+    wrong = wanted.where(bad).select("path").distinct().select("path", none, F.lit("badpath").alias("status"))
+    told = hit.where("i IS NOT NULL").select("path", F.col("i").alias("ino"), F.lit("ok").alias("status"))
+    # The longest known prefix of a miss tells notdir from noent; for most that is what it lies in.
+    up = F.regexp_replace(clean, "/[^/]*$", "")
+    miss = hit.where("i IS NULL").select("path", F.when(up == "", slash).otherwise(up).alias("up")).withColumn("uh", hashed("up"))
+    above = miss.join(known.drop("i"), (F.col("uh") == F.col("ph")) & same(F.col("up")), "left").select("path", "up", "k")
+    near = above.where("k IS NOT NULL").select("path", (F.col("k") != "dir").alias("under"))
+    names = F.split("up", "/")
+    far = above.where("k IS NULL").select("path", "up")
+    prefixes = far.select("path", F.explode(F.transform(F.sequence(F.lit(2), F.size(names)), lambda n: F.array_join(F.slice(names, 1, n), "/"))).alias("prefix"))
+    under = prefixes.join(known.where("k <> 'dir'"), (hashed("prefix") == F.col("ph")) & same(F.col("prefix")), "left_semi").select(F.col("path").alias("u")).distinct()
+    far = far.join(under, F.col("path") == F.col("u"), "left").select("path", F.col("u").isNotNull().alias("under"))
+    missed = near.unionByName(far).select("path", none, F.when(F.col("under"), "notdir").otherwise("noent").alias("status"))
+    return told.unionByName(wrong).unionByName(missed)
 
 
 def subtree(all_paths: DataFrame, prefix: str) -> DataFrame:

@@ -90,3 +90,35 @@ def test_garbage_below_any_depth_goes(spark, monkeypatch):
     monkeypatch.setattr(tree, "range", lambda *_: [0, 1], raising=False)  # a bound on rounds would be two
     t = chain(spark, 6)
     assert tree.collect_garbage(t, t.where("parent_ino = 1").select("parent_ino", "name")).count() == 0
+
+
+def test_resolve_tells_each_path_once_and_misses_by_their_longest_known_prefix(spark):
+    known = spark.createDataFrame([("/", 1, "dir"), ("/a", 2, "dir"), ("/a/b", 3, "dir"), ("/a/b/f", 4, "file"), ("/g", 5, "file")], "path string, ino bigint, kind string")
+    told = {
+        "/": (1, "ok"), "//": (1, "ok"), "": (1, "ok"), "/a/b/": (3, "ok"), "//a//b/f": (4, "ok"), "/a/../g": (None, "badpath"), "/.": (None, "badpath"), "/a/b/f/x": (None, "notdir"), "/a/b/f/x/y/z": (None, "notdir"), "/g/": (5, "ok"), "/g/x/y": (None, "notdir"),
+        "/a/bx": (None, "noent"), "/x": (None, "noent"), "/x/y/z": (None, "noent"), "/a/q/b/f": (None, "noent"), "/gx/y": (None, "noent"), None: (None, "noent"),
+    }
+    got = tree.resolve(known, spark.createDataFrame([(p,) for p in told] * 2, "path string")).collect()
+    assert len(got) == len(told) and {r["path"]: (r["ino"], r["status"]) for r in got} == told
+
+
+def test_copies_let_go_the_shuffles_of_earlier_ones(spark):
+    # The number of shuffles that Spark tracks doesn't grow with the levels of a tree.
+    def shuffles(depth):
+        t = spark.createDataFrame([(d, f"n{i}", d + 1 if i == 0 else 1000 * d + i, "dir" if i == 0 else "file", 0) for d in range(1, depth + 1) for i in range(3)], "parent_ino bigint, name string, ino bigint, kind string, size bigint")
+        tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+        peak, real = [], tree.durable
+
+        def counted(df):
+            out = real(df)
+            peak.append(tracker.shuffleStatuses().size())
+            return out
+
+        tree.durable = counted
+        try:
+            tree.paths(t, 1).collect()
+        finally:
+            tree.durable = real
+        return max(peak) - peak[0]
+
+    assert shuffles(10) <= 8
