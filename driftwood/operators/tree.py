@@ -98,20 +98,21 @@ def resolve(all_paths: DataFrame, wanted: DataFrame) -> DataFrame:
     # equal too is no key, so the rows that are told apart by hash stay where they are.
     hashed = lambda c: F.xxhash64(c)
     same = lambda a: (F.col("p") <= a) & (F.col("p") >= a)
-    bad = F.coalesce(bad, F.lit(False))
-    q = wanted.where(~bad).select("path", hashed(clean).alias("h")).repartition("h").dropDuplicates(["h", "path"])
-    known = all_paths.select(F.col("path").alias("p"), F.col("ino").alias("i"), F.col("kind").alias("k")).withColumn("ph", hashed("p"))
+    # Filters that Spark would add to some of the joins only are there from the start, so that they share their shuffles.
+    fine = clean.isNotNull() & ~bad
+    q = wanted.where(F.col("path").isNotNull() & fine).select("path", hashed(clean).alias("h")).repartition("h").dropDuplicates(["h", "path"])
+    known = all_paths.select(F.col("path").alias("p"), F.col("ino").alias("i"), F.coalesce("kind", F.lit("dir")).alias("k")).where("p IS NOT NULL AND i IS NOT NULL").withColumn("ph", hashed("p"))
     hit = q.join(known.drop("k"), (F.col("h") == F.col("ph")) & same(clean), "left")
     none = F.lit(None).cast(all_paths.schema["ino"].dataType).alias("ino")
-    wrong = wanted.where(bad).select("path").distinct().select("path", none, F.lit("badpath").alias("status"))
+    wrong = wanted.where(F.col("path").isNull() | bad).select("path").distinct().select("path", none, F.when(F.col("path").isNull(), "noent").otherwise("badpath").alias("status"))
     told = hit.where("i IS NOT NULL").select("path", F.col("i").alias("ino"), F.lit("ok").alias("status"))
     # The longest known prefix of a miss tells notdir from noent; for most that is what it lies in.
     up = F.regexp_replace(clean, "/[^/]*$", "")
     miss = hit.where("i IS NULL").select("path", F.when(up == "", slash).otherwise(up).alias("up")).withColumn("uh", hashed("up"))
-    above = miss.join(known.drop("i"), (F.col("uh") == F.col("ph")) & same(F.col("up")), "left").select("path", "up", "k")
-    near = above.where("k IS NOT NULL").select("path", (F.col("k") != "dir").alias("under"))
+    above = miss.join(known, (F.col("uh") == F.col("ph")) & same(F.col("up")), "left").select("path", "up", "i", "k")
+    near = above.where("i IS NOT NULL").select("path", (F.col("k") != "dir").alias("under"))
     names = F.split("up", "/")
-    far = above.where("k IS NULL").select("path", "up")
+    far = above.where("i IS NULL").select("path", "up")
     prefixes = far.select("path", F.explode(F.transform(F.sequence(F.lit(2), F.size(names)), lambda n: F.array_join(F.slice(names, 1, n), "/"))).alias("prefix"))
     under = prefixes.join(known.where("k <> 'dir'"), (hashed("prefix") == F.col("ph")) & same(F.col("prefix")), "left_semi").select(F.col("path").alias("u")).distinct()
     far = far.join(under, F.col("path") == F.col("u"), "left").select("path", F.col("u").isNotNull().alias("under"))

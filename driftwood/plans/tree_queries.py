@@ -186,7 +186,7 @@ _WANTED = f"""wanted AS (SELECT DISTINCT path FROM (SELECT unnest([path, path ||
 
 def _wanted(p):
     path = F.col("path")
-    return p.where(f"ino < {5 * LEVEL} OR ino >= {6 * LEVEL}").select(F.explode(F.array(path, F.concat(path, F.lit("/")), F.concat(F.lit("/"), path, F.lit("x")), F.concat(path, F.lit("/./a")))).alias("path")).distinct()
+    return p.where(f"ino < {5 * LEVEL} OR ino >= {6 * LEVEL}").select(F.explode(F.array(path, F.concat(path, F.lit("/")), F.concat(F.lit("/"), path, F.lit("x")), F.concat(path, F.lit("/./a")))).alias("path"))
 
 
 @query(f"""{PATHS_SQL}, {_WANTED}, n AS (SELECT ino, max(mode) AS mode, max(mtime_sec) AS mtime_sec FROM tree GROUP BY ino),
