@@ -227,6 +227,20 @@ def test_passages_whose_seeds_earlier_documents_have_in_parts(spark):
     assert got == {(3, 2, 20, 80, 30), (5, 4, 25, 85, 177)}
 
 
+def test_passages_that_several_earlier_documents_have(spark):
+    """A passage of many documents links all of them, and one that an earlier document and another share out
+    between them, each with too few of its seeds by itself, links with the other."""
+    rng = random.Random(14)
+    many = [f"v{i}" for i in range(20_000)]
+    make = lambda n: rng.choices(many, k=n)
+    p, q = make(60), make(60)
+    edited = [w if i % 5 else f"e{i}" for i, w in enumerate(q[:50])] + q[50:]
+    texts = [make(30) + p + make(20) for _ in range(4)] + [make(40) + q[50:] + make(40), make(20) + q + make(30), make(25) + edited + make(25)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["ref_id"]) for r in passages.repeated_passages(df).collect()}
+    assert got == {(a, b) for a in range(4) for b in range(a)} | {(6, 5)}
+
+
 def test_chains_against_all_chains():
     rng = random.Random(7)
     for _ in range(200):
