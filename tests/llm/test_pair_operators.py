@@ -241,6 +241,16 @@ def test_passages_that_several_earlier_documents_have(spark):
     assert got == {(a, b) for a in range(4) for b in range(a)} | {(6, 5)}
 
 
+def test_a_passage_in_a_text_of_repeated_lines(spark):
+    """Places that repeat make longer chains, which must not take the passage's own diagonal away."""
+    line = [f"r{i}" for i in range(5)]
+    shared = line * 10 + ["end"]
+    texts = [shared + [f"a{i}" for i in range(90)], shared + line * 40 + [f"b{i}" for i in range(90)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["ref_id"], r["start"], r["end"], r["ref_start"], r["ref_end"]) for r in passages.repeated_passages(df).collect()}
+    assert (1, 0, 0, 51, 0, 51) in got
+
+
 def test_chains_against_all_chains():
     rng = random.Random(7)
     for _ in range(200):
