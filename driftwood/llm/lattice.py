@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, table
+from ._common import durable, release, table
 from ._hashing import mix
 from .components import connected_components
 
@@ -126,11 +126,16 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     classes = durable(good.groupBy("h1", "h2").agg(F.struct(F.min("vec_id").cast("bigint").alias("vec_id"), F.col("h1").alias("hash")).alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
     # The representative's vector stands for the class.
     hashed = durable(classes.select("rep", "v").mapInArrow(_cell_batches(tables, probes, scale, seed), f"id {_NAME}, own array<bigint>, probed array<bigint>"))
-    index = hashed.select(F.col("id").alias("j"), F.explode("own").alias("cell"))
-    search = hashed.select(F.col("id").alias("i"), F.explode("probed").alias("cell"))
-    pairs = search.join(index, "cell").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     u, v = classes.select(F.col("rep").alias("a"), F.col("v").alias("u")), classes.select(F.col("rep").alias("b"), "v")
-    links = durable(pairs.join(u, "a").join(v, "b").select("a", "b", "u", "v").mapInArrow(_cosine_batches, f"a {_NAME}, b {_NAME}"))
+    # Table by table, so that no more than one table's cells, pairs and vectors are on disk at once.
+    found = []
+    for t in range(tables):
+        index = hashed.select(F.col("id").alias("j"), F.get("own", F.lit(t)).alias("cell"))
+        search = hashed.select(F.col("id").alias("i"), F.explode(F.slice("probed", t * probes + 1, probes)).alias("cell"))
+        pairs = search.join(index, "cell").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+        found.append(durable(pairs.join(u, "a").join(v, "b").select("a", "b", "u", "v").mapInArrow(_cosine_batches, f"a {_NAME}, b {_NAME}")))
+        release(vectors.sparkSession)
+    links = durable(functools.reduce(DataFrame.unionByName, found).distinct())
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
     comp = connected_components(links)

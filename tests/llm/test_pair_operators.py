@@ -299,6 +299,16 @@ def test_near_vectors_against_all_pairs(spark):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_meet_table_by_table(spark, monkeypatch):
+    """What one table needs on disk is let go before the next one, and a pair found in all of them links once."""
+    calls = []
+    monkeypatch.setattr(lattice, "release", lambda s: calls.append(s), raising=False)
+    x = np.random.default_rng(15).standard_normal(16)
+    df = spark.createDataFrame([(i, [float(c) for c in x + 1e-4 * i]) for i in range(3)], "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in lattice.near_duplicates(df, tables=3).collect()) == [(0, 2, 0, True), (1, 2, 0, False), (2, 2, 0, False)]
+    assert len(calls) == 3
+
+
 def test_repeated_ids_of_other_vectors(spark):
     rng = np.random.default_rng(12)
     v, w = rng.standard_normal((2, 16))
