@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,26 @@ def durable(df: DataFrame) -> DataFrame:
     # estimates multiply to numbers of millions of digits, so the rows get a plan without one.
     jdf = cut._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
+
+
+def durable_files(df: DataFrame) -> DataFrame:
+    """``durable`` as Parquet: a third of a checkpoint's size, of which only the columns asked for are read.
+    It can be removed by ``forget``."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/copy-{uuid.uuid4()}"
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def forget(*copies: DataFrame) -> None:
+    """Remove copies made by ``durable_files`` that no frame reads any more, and the shuffle files behind them."""
+    for df in copies:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("copy-"):
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        sc._jvm.System.gc()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwood.functions.lineage import durable
+from driftwood.functions.lineage import durable_files as durable
+from driftwood.functions.lineage import forget
 from driftwood.functions.scalars import path_join
 
 #: Names of a path are followed to this depth at most.
 MAX_DEPTH = 512
+#: Lists of up to so many rows of one or two numbers are broadcast; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def assemble(entries: DataFrame) -> DataFrame:
@@ -43,7 +46,7 @@ def paths(tree: DataFrame, root: int = 1, max_depth: int = MAX_DEPTH) -> DataFra
     """(ino, path, depth, kind, size, parent_ino) of all that the root reaches, itself included.
 
     A level at a time: each join goes down one level, so rows are made once and the number of jobs
-    is the depth.  The frontier is cut through the checkpoint folder every few levels.  A tree that goes
+    is the depth.  Each level is a copy in the checkpoint folder.  A tree that goes
     on below max_depth, or has a cycle, is an error: a part of it is no answer.
     """
     spark = tree.sparkSession
@@ -56,6 +59,7 @@ def paths(tree: DataFrame, root: int = 1, max_depth: int = MAX_DEPTH) -> DataFra
         )
         level = durable(level)
         if level.isEmpty():
+            forget(level, edges)
             return out
         out = out.unionByName(level)
     if not level.where("kind = 'dir'").join(edges, F.col("ino") == F.col("__p")).isEmpty():
@@ -72,18 +76,40 @@ def path_of(tree: DataFrame, nodes: DataFrame, root: int = 1, max_depth: int = M
     """
     if parents is not None:
         own = parents.select(F.col("ino").alias("__n"), F.col("own").alias("__own"))
-        tree = tree.join(own, (F.col("ino") == F.col("__n")) & (F.col("parent_ino") == F.col("__own")))
+        # That the parents are equal is no key: rows then stay by node for what follows.
+        at_own = (F.col("parent_ino") <= F.col("__own")) & (F.col("parent_ino") >= F.col("__own"))
+        tree = tree.join(own, (F.col("ino") == F.col("__n")) & at_own)
     order = ["cookie", "name", "parent_ino"] if "cookie" in tree.columns else ["name", "parent_ino"]
     up = durable(tree.groupBy("ino").agg(F.min(F.struct(*order)).alias("x")).select(F.col("ino").alias("__i"), "x.name", "x.parent_ino"))
     state = nodes.select("ino").distinct().select("ino", F.col("ino").alias("at"), F.lit("").alias("tail"))
-    done = None
-    for _ in range(max_depth):
-        here = state.where(F.col("at") == root).select("ino", F.when(F.col("tail") == "", "/").otherwise(F.col("tail")).alias("path"))
-        done = here if done is None else done.unionByName(here)
-        state = durable(state.where(F.col("at") != root).join(up, F.col("at") == F.col("__i")).select("ino", F.col("parent_ino").alias("at"), F.concat(F.lit("/"), F.col("name"), F.col("tail")).alias("tail")))
-        if state.isEmpty():
+    # A node that has arrived stays in the state, as does one that can't go on, whose place is null.
+    for step in range(max_depth - 1):
+        climbed = state.where(F.col("at") != root).join(up, F.col("at") == F.col("__i"), "left").select("ino", F.col("parent_ino").alias("at"), F.concat(F.lit("/"), F.col("name"), F.col("tail")).alias("tail"))
+        next_ = durable(climbed.unionByName(state.where(F.col("at").isNull() | (F.col("at") == root))))
+        if step == 0:
+            # From here on nodes climb from what holds something.
+            holds = up.select(F.col("parent_ino").alias("__i")).distinct()
+            whole, up = up, durable(up.join(holds, "__i", "left_semi"))
+            forget(whole)
+        else:
+            forget(state)
+        state = next_
+        if state.where(F.col("at") != root).isEmpty():
             break
-    return nodes.select("ino").distinct().join(done, "ino", "left")
+    forget(up)
+    return state.select("ino", F.when(F.col("at") == root, F.when(F.col("tail") == "", "/").otherwise(F.col("tail"))).alias("path"))
+
+
+def clean_path(path: str) -> Column:
+    """The path without empty components."""
+    return F.concat(F.lit("/"), F.array_join(F.filter(F.split(path, "/"), lambda x: x != ""), "/"))
+
+
+def as_deep(all_paths: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of ``all_paths`` that are as deep as some path of ``wanted`` (path); no other can be one of them."""
+    depth = lambda c: F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit("")))
+    depths = wanted.select(depth(clean_path("path")).alias("__d")).distinct()
+    return all_paths.join(F.broadcast(depths), depth(F.col("path")) == F.col("__d"), "left_semi")
 
 
 def resolve(all_paths: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -93,7 +119,7 @@ def resolve(all_paths: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     slash = F.lit("/")
     bad = F.exists(F.split("path", "/"), lambda x: x.isin(".", ".."))
-    clean = F.concat(slash, F.array_join(F.filter(F.split("path", "/"), lambda x: x != ""), "/"))
+    clean = clean_path("path")
     # Rows are joined by a hash of the path: paths begin alike and are slow to sort by.  That the paths are
     # equal too is no key, so the rows that are told apart by hash stay where they are.
     hashed = lambda c: F.xxhash64(c)
@@ -131,16 +157,26 @@ def collect_garbage(tree: DataFrame, removed: DataFrame) -> DataFrame:
     A node goes when all its entries are gone, and then its own entries go; hard links keep it.
     Each round takes entries away or is the last.
     """
-    gone = tree.join(removed.select("parent_ino", "name").distinct(), ["parent_ino", "name"], "left_semi").select("parent_ino", "name", "ino", "kind")
-    left = durable(tree.join(removed.select("parent_ino", "name").distinct(), ["parent_ino", "name"], "left_anti"))
-    hit = durable(gone.select("ino").distinct())
+    first = durable(removed.select("parent_ino", "name").distinct())
+    kept = tree.join(_side(first), ["parent_ino", "name"], "left_anti")
+    hit = durable(tree.join(_side(first), ["parent_ino", "name"], "left_semi").select("ino").distinct())
+    # What goes is told by nodes alone; the entries themselves follow once.
+    left, dead = durable(kept.select("parent_ino", "ino")), None
     while True:
-        dead = hit.join(left.select("ino"), "ino", "left_anti")
-        next_ = durable(left.join(dead.select(F.col("ino").alias("parent_ino")), "parent_ino", "left_semi"))
-        if next_.isEmpty():
-            return left
-        left = durable(left.join(dead.select(F.col("ino").alias("parent_ino")), "parent_ino", "left_anti"))
-        hit = durable(next_.select("ino").distinct())
+        new = durable(hit.join(left.select("ino"), "ino", "left_anti").select(F.col("ino").alias("parent_ino")))
+        below = durable(left.join(_side(new), "parent_ino", "left_semi").select("ino").distinct())
+        dead = new if dead is None else dead.unionByName(new)
+        if below.isEmpty():
+            forget(hit, left, below)
+            return kept.join(_side(dead), "parent_ino", "left_anti")
+        next_ = durable(left.join(_side(new), "parent_ino", "left_anti"))
+        forget(hit, left)
+        left, hit = next_, below
+
+
+def _side(df: DataFrame) -> DataFrame:
+    """Small frames are sent whole, so that the other side of their join stays where it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def listing(all_paths: DataFrame) -> DataFrame:

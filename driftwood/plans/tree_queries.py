@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftwood.functions.lineage import durable
+from driftwood.functions.lineage import durable_files as durable
+from driftwood.functions.lineage import forget
 from driftwood.operators import command, tree
 from driftwood.sources import fixtures
 from driftwood.sources.fixtures import LEVEL, LINES, PATHS_SQL, ROOT, SNAPSHOT_SQL
@@ -12,8 +13,22 @@ from driftwood.sources.fixtures import LEVEL, LINES, PATHS_SQL, ROOT, SNAPSHOT_S
 from .registry import query
 
 
-def _tree(spark, sf_dir):
-    return tree.assemble(fixtures.snapshot(spark, sf_dir))
+def _tree(spark, sf_dir, *columns, placed=None):
+    """The whole tree; with ``columns`` those alone beside parent_ino, name, seq and ino."""
+    entries = fixtures.snapshot(spark, sf_dir, placed)
+    return tree.assemble(entries.select("parent_ino", "name", "seq", "ino", *columns) if columns or placed is not None else entries)
+
+
+_LINE = ("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "ordinal")
+
+
+def _copied(spark, sf_dir, *columns, placed=None):
+    """A copy of ``_tree``; the lines are copied first, since their window takes most of the disk."""
+    line = placed or durable(fixtures.lines(spark, sf_dir).select(*_LINE))
+    out = durable(_tree(spark, sf_dir, *columns, placed=line))
+    if placed is None:
+        forget(line)
+    return out
 
 
 @query(f"WITH {SNAPSHOT_SQL} SELECT parent_ino, name, ino, kind, size, mode, mtime_sec FROM tree")
@@ -63,14 +78,19 @@ def tree_paths(spark, sf_dir):
 def path_of(spark, sf_dir):
     """Every node of the whole tree, and ids that nothing holds.  Every third part's line has a later name in
     its order and one elsewhere; neither is its path."""
-    t = durable(_tree(spark, sf_dir))
-    linked = fixtures.lines(spark, sf_dir).where("l_partkey % 3 = 0").select((5 * LEVEL + F.col("l_orderkey") * LINES + F.col("ordinal")).cast("bigint").alias("ino"), (2 * LEVEL + F.col("l_suppkey") % 25).cast("bigint").alias("else"))
-    linked = t.join(linked, "ino")
+    line = durable(fixtures.lines(spark, sf_dir).select(*_LINE, "l_partkey", "l_suppkey"))
+    t = _copied(spark, sf_dir, placed=line)
+    linked = line.where("l_partkey % 3 = 0").select((5 * LEVEL + F.col("l_orderkey") * LINES + F.col("ordinal")).cast("bigint").alias("ino"), (2 * LEVEL + F.col("l_suppkey") % 25).cast("bigint").alias("else"))
+    linked = durable(t.join(linked, "ino"))
+    forget(line)
     later = F.lit(1 << 20).cast("bigint") + F.col("seq")
     more = [linked.withColumns({"seq": later, "parent_ino": at, "name": F.concat(F.lit(mark), F.col("ino").cast("string"))}).drop("else") for at, mark in ((F.col("parent_ino"), "!"), (F.col("else"), "!!"))]
-    entries = tree.with_cookies(t.unionByName(more[0]).unionByName(more[1]))
+    entries = durable(tree.with_cookies(t.unionByName(more[0]).unionByName(more[1])).drop("seq"))
+    forget(linked)
     asked = t.select("ino").unionByName(spark.range(ROOT, ROOT + 1).withColumnRenamed("id", "ino")).unionByName(fixtures.read(spark, sf_dir, "region").select((F.col("r_regionkey") + 7).cast("bigint").alias("ino")))
-    return tree.path_of(entries, asked, ROOT, parents=t.select("ino", F.col("parent_ino").alias("own")))
+    out = tree.path_of(entries, asked, ROOT, parents=t.select("ino", F.col("parent_ino").alias("own")))
+    forget(entries, t)
+    return out
 
 
 @query(f"""{PATHS_SQL},
@@ -114,7 +134,7 @@ dead AS (SELECT ino FROM tree WHERE parent_ino = {2 * LEVEL + 3} OR ino = {LEVEL
 SELECT kind, count(*) AS entries, count(DISTINCT parent_ino) AS parents FROM tree WHERE ino NOT IN (SELECT ino FROM dead) GROUP BY kind""")
 def subtree_gc(spark, sf_dir):
     """One region and all of a nation's entries are removed from the whole tree; what hung below goes too."""
-    return _collected(_tree(spark, sf_dir))
+    return _collected(_copied(spark, sf_dir, "kind"))
 
 
 def _collected(t):
@@ -209,10 +229,14 @@ SELECT d.path, place, e.name, e.kind, e.size, n > 20 AS truncated FROM d JOIN e
 UNION ALL SELECT path, 1, string_split(path, '/')[-1], kind, (SELECT max(size) FROM tree WHERE tree.ino = d.ino), false FROM d WHERE kind <> 'dir'""")
 def ls_paths(spark, sf_dir):
     """Listings of every directory, twenty entries at most; suppliers list themselves."""
-    t = durable(tree.with_cookies(_tree(spark, sf_dir)))
-    p = durable(tree.paths(t, ROOT))
+    bare = _copied(spark, sf_dir, "kind", "size")
+    t = durable(tree.with_cookies(bare).drop("seq"))
+    forget(bare)
+    p = tree.paths(t, ROOT)
     wanted = p.where(f"ino < {5 * LEVEL} OR ino >= {6 * LEVEL}").select("path")
-    return command.ls(p, t, p.select("ino", "size"), wanted, 20)
+    out = command.ls(p, t, p.select("ino", "size"), wanted, 20)
+    forget(p, t)
+    return out
 
 
 @query(f"""WITH {SNAPSHOT_SQL}, {_COOKIES}, z AS (SELECT *, 8 + 4 + 84 + ((octet_length(encode(name)) + 3) // 4) * 4 AS b, row_number() OVER (PARTITION BY parent_ino ORDER BY cookie) AS rn, count(*) OVER (PARTITION BY parent_ino) AS n FROM c WHERE cookie > 4),

@@ -44,8 +44,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").withColumn("ordinal", rank)
 
 
-def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshot entries (parent_ino, name, ino, kind, size, mode, mtime_sec, seq), repeats and all."""
+def snapshot(spark: SparkSession, sf_dir: str, placed: DataFrame | None = None) -> DataFrame:
+    """Snapshot entries (parent_ino, name, ino, kind, size, mode, mtime_sec, seq), repeats and all; of the ``lines``
+    ``placed`` if the caller has them."""
     col, lit = F.col, F.lit
     row = lambda parent, name, ino, kind, size=lit(0), sec=lit(0), seq=lit(0): [parent.cast("bigint").alias("parent_ino"), name.cast("string").alias("name"), ino.cast("bigint").alias("ino"), lit(kind).alias("kind"), size.cast("bigint").alias("size"), lit(0o755 if kind == "dir" else 0o644).alias("mode"), sec.cast("bigint").alias("mtime_sec"), seq.cast("bigint").alias("seq")]
     region = read(spark, sf_dir, "region").select(*row(lit(ROOT), col("r_name"), LEVEL + col("r_regionkey"), "dir"))
@@ -53,7 +54,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read(spark, sf_dir, "customer").select(*row(2 * LEVEL + col("c_nationkey"), col("c_name"), 3 * LEVEL + col("c_custkey"), "dir"))
     supplier = read(spark, sf_dir, "supplier").select(*row(2 * LEVEL + col("s_nationkey"), col("s_name"), 6 * LEVEL + col("s_suppkey"), "file", F.abs(F.floor("s_acctbal"))))
     order = read(spark, sf_dir, "orders").select(*row(3 * LEVEL + col("o_custkey"), col("o_orderkey"), 4 * LEVEL + col("o_orderkey"), "dir"))
-    line = lines(spark, sf_dir).select(*row(4 * LEVEL + col("l_orderkey"), col("l_linenumber"), 5 * LEVEL + col("l_orderkey") * LINES + col("ordinal"), "file", F.floor("l_quantity"), F.unix_date(col("l_shipdate").cast("date")) * 86400, col("ordinal")))
+    line = (placed or lines(spark, sf_dir)).select(*row(4 * LEVEL + col("l_orderkey"), col("l_linenumber"), 5 * LEVEL + col("l_orderkey") * LINES + col("ordinal"), "file", F.floor("l_quantity"), F.unix_date(col("l_shipdate").cast("date")) * 86400, col("ordinal")))
     out = region
     for x in (nation, customer, supplier, order, line):
         out = out.unionByName(x)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from driftwood.functions import scalars
-from driftwood.operators import cas, conflict, journal, overlay, tree
+from driftwood.functions import lineage, scalars
+from driftwood.operators import cas, command, conflict, journal, overlay, tree
 from driftwood.sources import discovery
 
 
@@ -122,3 +124,43 @@ def test_copies_let_go_the_shuffles_of_earlier_ones(spark):
         return max(peak) - peak[0]
 
     assert shuffles(10) <= 8
+
+
+def left_behind(spark, run):
+    """Names that ``run`` leaves in the checkpoint folder, and its rows."""
+    folder = Path(lineage.shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    rows = run().collect()
+    return {p.name for p in folder.iterdir()} - before, rows
+
+
+def test_climbing_keeps_one_copy_however_deep(spark):
+    loose = spark.createDataFrame([(90, "x", 91, "dir", 0), (91, "y", 90, "dir", 0)], "parent_ino bigint, name string, ino bigint, kind string, size bigint")
+    t = chain(spark, 6).unionByName(loose)
+    left, rows = left_behind(spark, lambda: tree.path_of(t, t.select("ino").unionByName(spark.createDataFrame([(1,), (77,)], "ino bigint")), max_depth=9))
+    told = {r["ino"]: r["path"] for r in rows}
+    assert told == {1: "/", 77: None, 90: None, 91: None} | {i + 1: "".join(f"/d{j}" for j in range(1, i + 1)) for i in range(1, 7)}
+    assert len(left) == 1
+
+
+def test_garbage_keeps_no_copies_of_what_is_left(spark):
+    t = chain(spark, 6).unionByName(spark.createDataFrame([(1, "hard", 5, "dir", 0)], chain(spark, 1).schema))
+    left, rows = left_behind(spark, lambda: tree.collect_garbage(t, t.where("name = 'd1'").select("parent_ino", "name")))
+    assert sorted((r["parent_ino"], r["name"]) for r in rows) == [(1, "hard"), (5, "d5"), (6, "d6")]
+    # The names removed and the nodes of each of the four rounds.
+    assert len(left) <= 5
+
+
+def test_ls_looks_among_paths_as_deep_as_the_wanted_ones(spark):
+    known = spark.createDataFrame([("/", 1, "dir"), ("/a", 2, "dir"), ("/g", 3, "file"), ("/a/b", 4, "dir"), ("/a/b/f", 5, "file")], "path string, ino bigint, kind string")
+    asked = spark.createDataFrame([("//a/",), ("/g",), ("//a/b/f",), ("/a/q",)], "path string")
+    seen = []
+    real, command.trees.resolve = command.trees.resolve, lambda p, w: (seen.extend(r["path"] for r in p.collect()), real(p, w))[1]
+    try:
+        entries = spark.createDataFrame([(1, "a", 2, "dir", 3), (1, "g", 3, "file", 4), (2, "b", 4, "dir", 3), (2, "z", 6, "file", 4), (4, "f", 5, "file", 3)], "parent_ino bigint, name string, ino bigint, kind string, cookie bigint")
+        attrs = spark.createDataFrame([(2, 0), (3, 30), (4, 0), (5, 50)], "ino bigint, size bigint")
+        got = command.ls(known, entries, attrs, asked.where("path <> '/a/q'"), 1)
+    finally:
+        command.trees.resolve = real
+    assert sorted(tuple(r) for r in got.collect()) == [("//a/", 1, "b", "dir", 0, True), ("//a/b/f", 1, "f", "file", 50, False), ("/g", 1, "g", "file", 30, False)]
+    assert sorted(seen) == ["/", "/a", "/a/b/f", "/g"]
