@@ -8,6 +8,8 @@ shared checkpoint folder, so a lost executor costs one round at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +19,19 @@ from ._common import durable, shuffle_partitions
 PART_ROWS, BROADCAST_LINKS = 200_000, 1_000_000
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, copy: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """(id, component) for every id that stands in a link to another; the least id names a class.
 
     Links with a null end or to themselves are left out; repeats don't matter; no links, no rows.
+    ``copy`` cuts lineages.
     """
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct()
-    e = durable(e)
+    e = copy(e)
     links = e.count()
     # Small frames are held in few partitions and sent whole; larger ones are joined by shuffles.
     parts = -(-links // PART_ROWS) or 1
     few = parts < shuffle_partitions(e.sparkSession)
-    held = lambda df: durable(df.coalesce(parts) if few else df)
+    held = lambda df: copy(df.coalesce(parts) if few else df)
     side = lambda df: F.broadcast(df) if links <= BROADCAST_LINKS else df
     e = e.coalesce(parts) if few else e
     # Each id with the least neighbour or itself: a forest whose parents are never larger.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, durable, release, shuffle_partitions, small, small_batches, table
+from ._common import LOWER, UPPER, copied, release, shuffle_partitions, small, small_batches, table
 from ._hashing import mix, shingle_sets, slices, tidy
 from .components import connected_components
 
@@ -261,7 +261,7 @@ def _distances(pairs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     Bitmaps, a fraction of the sets' size, are compared first.
     """
     one, two = (items.select(F.col("id").alias(i), F.col("n").alias(n), F.col("bits").alias(u)) for i, n, u in (("a", "n", "u"), ("b", "m", "v")))
-    near = durable(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "u", "v").mapInArrow(_bound_batches(least), "a bigint, b bigint"))
+    near = copied(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "u", "v").mapInArrow(_bound_batches(least), "a bigint, b bigint"))
     one = items.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     two = items.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     told = near.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_distance_batches, "a bigint, b bigint, shared bigint, whole bigint")
@@ -296,14 +296,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "d
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     keyed = rows.where(F.col("doc_id").isNotNull())
     small_batches(docs.sparkSession)
-    counts = durable(shared_counts(keyed, k))
+    counts = copied(shared_counts(keyed, k))
     live = counts.where((F.array_max("sizes") > 0) & (100 * F.col("shared") >= percent * F.array_min("sizes"))).select(F.col("id").alias("__id"))
     members, links = links_of(keyed.join(_side(live), F.col("doc_id") == F.col("__id"), "left_semi"), percent, k)
-    comp = connected_components(links)
-    placed = durable(members.join(comp, "id", "left").select("doc_id", F.coalesce("component", "id").alias("c")))
+    comp = connected_components(links, copy=copied)
+    placed = copied(members.join(comp, "id", "left").select("doc_id", F.coalesce("component", "id").alias("c")))
     least = placed.groupBy("c").agg(F.min("doc_id").alias("component"))
     named = placed.join(least, "c").groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = counts.join(_side(durable(named)), F.col("id") == F.col("doc_id"), "left").select(F.col("id").alias("doc_id"), F.explode("sizes").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = counts.join(_side(copied(named)), F.col("id") == F.col("doc_id"), "left").select(F.col("id").alias("doc_id"), F.explode("sizes").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     lost = rows.where(F.col("doc_id").isNull()).mapInArrow(_size_batches(k), "doc_id bigint, n_shingles bigint").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(lost)
 
@@ -324,15 +324,15 @@ def _size_batches(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """Steps 2 to 4 over (doc_id, text): (doc_id, id) of each row with words, id its item, and
     enough links (a, b) between items for their components to be those of all links."""
-    sets = durable(live.select("doc_id", "text").mapInArrow(_set_batches(k), SETS).where("n > 0"))
+    sets = copied(live.select("doc_id", "text").mapInArrow(_set_batches(k), SETS).where("n > 0"))
     # An item is named by the fingerprint of its set.
-    items = durable(sets.groupBy(F.col("f1").alias("id")).agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("bits").alias("bits")))
+    items = copied(sets.groupBy(F.col("f1").alias("id")).agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("bits").alias("bits")))
     members = sets.select("doc_id", F.col("f1").alias("id"))
     # Shingles that no other item has are in no partner, which bounds a partner's size by ``most``.
     known = _shared(items.select("id", "s"), k, F.size("s")).select("id", "shared")
     most = (F.floor(F.col("shared") * F.lit((100 + percent) / percent) + 1e-9) - F.col("n")).alias("most")
-    sizes = durable(items.select("id", "n").join(known, "id").where(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", most, (F.col("n") - F.col("shared")).alias("own")))
-    items = durable(items.join(_side(sizes.select("id", "most")), "id"))
+    sizes = copied(items.select("id", "n").join(known, "id").where(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", most, (F.col("n") - F.col("shared")).alias("own")))
+    items = copied(items.join(_side(sizes.select("id", "most")), "id"))
     release(live.sparkSession)
     n_items = sizes.count()
     # Any order that all items share is exact; hashes that many items hold come last in it.
@@ -340,7 +340,7 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
     often.sort(key=lambda r: r["token"])
     frequent = live.sparkSession.sparkContext.broadcast(tuple(np.array([r[c] for r in often], np.int64) for c in ("token", "k")))
     open_ = items.select("id", "n", "s").mapInArrow(_region_batches(frequent, percent), "id bigint, n bigint, region bigint")
-    open_ = durable(open_.join(_side(sizes.select("id", "own")), "id").select("id", "n", "region", "own"))
+    open_ = copied(open_.join(_side(sizes.select("id", "own")), "id").select("id", "n", "region", "own"))
     far = 2 * percent - 100  # 100 * (1 - 2r): pairs less alike than this are outside every window
     linked = 100 * F.col("shared") >= percent * F.col("whole")
 
@@ -356,19 +356,19 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
         else:
             rank = F.row_number().over(Window.partitionBy("region").orderBy("own", F.xxhash64("id"), "id"))
             pivots = open_.withColumn("rank", rank).where(F.col("rank") <= per_region).select("region", F.col("id").alias("p"), F.col("n").alias("m"))
-        met = durable(open_.join(pivots, "region").select("region", "id", "n", "own", "p", "m"))
+        met = copied(open_.join(pivots, "region").select("region", "id", "n", "own", "p", "m"))
         if per_region == 1:
-            held = durable(met.groupBy("id").agg(F.count("*").alias("regions")))
+            held = copied(met.groupBy("id").agg(F.count("*").alias("regions")))
         pairs = met.where(F.col("id") != F.col("p")).where(alike("n", "m", far)).select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
         fresh = pairs if tested is None else pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         near = _distances(fresh, items, far)
-        tested = durable(near if tested is None else tested.unionByName(near))
+        tested = copied(near if tested is None else tested.unionByName(near))
         release(live.sparkSession)
         links = tested.where(linked).select("a", "b")
         # Items that are a pivot of the region, or in the cell of one, are done there.
         cell = links.select(F.col("a").alias("id"), F.col("b").alias("p"), F.lit(True).alias("hit"))
         done = F.max((F.col("id") == F.col("p")) | F.coalesce("hit", F.lit(False)))
-        left = durable(met.join(cell.hint("merge"), ["id", "p"], "left").groupBy("region", "id", "n", "own").agg(done.alias("done")).where("not done").select("region", "id", "n", "own"))
+        left = copied(met.join(cell.hint("merge"), ["id", "p"], "left").groupBy("region", "id", "n", "own").agg(done.alias("done")).where("not done").select("region", "id", "n", "own"))
         many = left.groupBy("region").count().where("count > 1")
         sizes_left = many.agg(F.max("count").alias("most"), F.sum(F.col("count") * F.col("count")).alias("pairs")).first()
         if sizes_left["most"] is None:
@@ -385,16 +385,16 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
         rare = lambda n: F.col(n) + 1 - F.ceil(F.col(n) * percent / 100)
         miss = lambda n, m: (100 * F.col(n) - percent * F.col(m)) / (100 + percent)
         least = F.least(rare("n") - miss("n", "m"), rare("m") - miss("m", "n"))
-        unseen = durable(held.join(open_.groupBy("id").agg(F.count("*").alias("k")), "id").select("id", (F.col("regions") - F.col("k")).alias("u")))
+        unseen = copied(held.join(open_.groupBy("id").agg(F.count("*").alias("k")), "id").select("id", (F.col("regions") - F.col("k")).alias("u")))
         met = one.join(two, "region").where("a < b AND m <= na AND n <= nb").where(alike("n", "m", percent)).groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"))
         met = met.join(unseen.select(F.col("id").alias("a"), F.col("u").alias("ua")), "a").join(unseen.select(F.col("id").alias("b"), F.col("u").alias("ub")), "b").where(F.col("k") + F.col("ua") + F.col("ub") >= least - 1e-9)
         last = _distances(met.select("a", "b"), items, percent)
-        links = durable(links.unionByName(last.select("a", "b")))
+        links = copied(links.unionByName(last.select("a", "b")))
         break
     release(live.sparkSession)
     # Step 4: windows around the cells, where components still differ.
-    comp = durable(connected_components(links))
-    label = durable(sizes.join(comp, "id", "left").select("id", "n", "most", "own", F.coalesce("component", "id").alias("c")))
+    comp = copied(connected_components(links, copy=copied))
+    label = copied(sizes.join(comp, "id", "left").select("id", "n", "most", "own", F.coalesce("component", "id").alias("c")))
     named = lambda own, c, n, m: label.select(F.col("id").alias(own), F.col("c").alias(c), F.col("n").alias(n), F.col("most").alias(m), (F.col("n") - F.col("own")).alias(f"h{own}"))
     index = F.col("shared") / F.col("whole")
     outer = tested.where(~linked).select(F.col("a").alias("y"), F.col("b").alias("p"), index.alias("jy"), F.col("shared").alias("sy")).join(named("y", "cy", "ny", "my"), "y").join(label.select(F.col("id").alias("p"), F.col("c").alias("cp")), "p").where("cy <> cp")
@@ -407,7 +407,7 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
     window = o.join(i, (F.col("o.p") == F.col("i.p")) & fits)
     rest = window.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     late = _distances(rest, items, percent).select("a", "b")
-    return members, durable(links.unionByName(late))
+    return members, copied(links.unionByName(late))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
