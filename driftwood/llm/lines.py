@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, release, small, table
+from ._common import copied, release, small, table
 from .shingle_sql import BLANKS, map_shingles, words
 
 PERCENT = 75
@@ -71,8 +71,8 @@ def tokens(line: Column, levels: Column, k: int) -> Column:
 def _copies(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, h1) of the lines with words that an earlier one equals to the character; h1 is the line's hash."""
     hashed = lines.where(F.btrim("line", F.lit(BLANKS)) != "").select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    twice = durable(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
-    found = durable(hashed.join(_side(twice), ["h1", "h2"]))
+    twice = copied(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
+    found = copied(hashed.join(_side(twice), ["h1", "h2"]))
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
     return found.join(_side(first), ["h1", "h2"]).where(F.struct("doc_id", "line_no") > F.col("at")).select("doc_id", "line_no", "h1").distinct()
 
@@ -86,7 +86,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "do
     """
     lines = split_lines(docs, doc_id, text)
     levels = rarity(docs, text)
-    copies = durable(_copies(lines))
+    copies = copied(_copies(lines))
     n = F.size("t")
     prefix = F.slice("t", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     # Blank lines go first: a filter on the tokens would make them twice.
@@ -109,9 +109,9 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "do
     by = Window.partitionBy("token").orderBy("doc", "at")
     rank = F.row_number().over(by).alias("rank")
     met = postings.select("token", "doc", "at", rank, F.lead("at").over(by).isNotNull().alias("more"))
-    hot = durable(met.where("rank > 1 or more").select("token", "doc", "at"))
+    hot = copied(met.where("rank > 1 or more").select("token", "doc", "at"))
     release(docs.sparkSession)
-    hot = durable(hot.select("token", "doc", "at", rank, F.first("doc").over(by).alias("doc0"), F.first("at").over(by).alias("at0")))
+    hot = copied(hot.select("token", "doc", "at", rank, F.first("doc").over(by).alias("doc0"), F.first("at").over(by).alias("at0")))
 
     def overlap(n, m):
         """The least intersection of two sets of n and m tokens that match."""
@@ -127,13 +127,13 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "do
 
     def held(need: DataFrame) -> DataFrame:
         """(d, l, t): the tokens of the lines (d, l)."""
-        asked = durable(need.groupBy(F.col("d").alias("__d")).agg(F.collect_set("l").alias("__l")))
+        asked = copied(need.groupBy(F.col("d").alias("__d")).agg(F.collect_set("l").alias("__l")))
         own = docs.select(F.col(doc_id).alias("__id"), F.split(F.col(text), "\n").alias("__t"))
         own = own.join(F.broadcast(asked) if small(asked.select(F.explode("__l")), BROADCAST_ROWS) else asked, F.col("__id") == F.col("__d"))
         found = own.select(F.col("__d").alias("d"), F.explode(F.transform("__l", lambda i: F.struct(i.alias("l"), F.get("__t", i).alias("line")))).alias("x"))
         found = found.select("d", "x.l", tokens(F.col("x.line"), levels, k).alias("t"))
         # Rows that share an id bring several lines of one number: any of them may match.
-        return durable(found.distinct() if repeated_ids else found)
+        return copied(found.distinct() if repeated_ids else found)
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(doc_id, line_no) of the later lines of the pairs that match."""
@@ -145,23 +145,23 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "do
     ends = lambda pairs: pairs.select(F.col("da").alias("d"), F.col("la").alias("l")).unionByName(pairs.select(F.col("db").alias("d"), F.col("lb").alias("l")))
     repeated_ids = not docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
     before = (F.col("doc0") < F.col("doc")) | ((F.col("doc0") == F.col("doc")) & (line_of("at0") < line_of("at")))
-    tried = durable(filtered(hot.where("rank > 1").where(before)))
-    gone = durable(verified(tried, held(ends(tried))))
+    tried = copied(filtered(hot.where("rank > 1").where(before)))
+    gone = copied(verified(tried, held(ends(tried))))
     release(docs.sparkSession)
     # Lines that nothing has removed meet the earlier ones of their tokens.
     line = line_of("at").alias("line")
-    left = durable(hot.where("rank > 2").select("token", "doc", "at", line, "rank").join(_side(gone.withColumnsRenamed({"doc_id": "doc", "line_no": "line"})), ["doc", "line"], "left_anti"))
+    left = copied(hot.where("rank > 2").select("token", "doc", "at", line, "rank").join(_side(gone.withColumnsRenamed({"doc_id": "doc", "line_no": "line"})), ["doc", "line"], "left_anti"))
     asks = left.groupBy("token").agg(F.max("rank").alias("last"))
-    right = durable(hot.where("rank > 1").select("token", "doc", "at", line, "rank").join(asks, "token").where("rank <= last").select("doc", "line").distinct())
+    right = copied(hot.where("rank > 1").select("token", "doc", "at", line, "rank").join(asks, "token").where("rank <= last").select("doc", "line").distinct())
     # All tokens of these lines are counted among themselves now.  Those that one line has alone are in no
     # partner, so ``most`` is tighter, and prefixes of what is left, by true counts, are short and rare.
     part = right.select("doc", "line", F.lit(False).alias("asks")).unionByName(left.select("doc", "line", F.lit(True).alias("asks")))
-    part = durable(part.groupBy(F.col("doc").alias("d"), F.col("line").alias("l")).agg(F.max("asks").alias("asks")))
+    part = copied(part.groupBy(F.col("doc").alias("d"), F.col("line").alias("l")).agg(F.max("asks").alias("asks")))
     sets = held(part.select("d", "l"))
     need = F.ceil(F.col("n") * percent / 100)
     count = F.count("*").over(Window.partitionBy("token")).alias("c")
     seen = sets.select("d", "l", F.explode("t").alias("token")).select("d", "l", count).where("c > 1").groupBy("d", "l").agg(F.count("*").alias("s"))
-    alive = durable(sets.select("d", "l", F.size("t").alias("n")).join(seen, ["d", "l"]).where(F.col("s") >= need).select("d", "l").distinct())
+    alive = copied(sets.select("d", "l", F.size("t").alias("n")).join(seen, ["d", "l"]).where(F.col("s") >= need).select("d", "l").distinct())
     release(docs.sparkSession)
     shared = sets.select("d", "l", F.size("t").alias("n"), "t").join(_side(alive), ["d", "l"]).select("d", "l", "n", F.explode("t").alias("token")).select("d", "l", "n", "token", count).where("c > 1")
     x = shared.groupBy("d", "l", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("x")).where(F.size("x") >= need)
@@ -171,13 +171,13 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "do
     top = F.size("x") - F.ceil(2.0 * F.col("n") * percent / (100 + percent)) + 1
     rare = x.select("d", "l", "n", most, band.alias("band"), top.alias("top"), lead.alias("lead")).withColumn("open", F.col("n") <= F.col("most"))
     rare = rare.select("d", "l", "n", "most", "open", "band", F.explode(F.transform("lead", lambda y, i: F.struct(y.alias("token"), (i < F.col("top")).alias("low")))).alias("y")).select("d", "l", "n", "most", "open", "band", "y.token", "y.low")
-    rare = durable(rare)
+    rare = copied(rare)
     asking = rare.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(_side(part.where("asks").select("d", "l")), ["d", "l"], "left_semi")
     fits = F.expr("r.n <= l.most AND l.n <= r.most AND CASE WHEN l.n < r.n THEN l.low WHEN l.n > r.n THEN r.low ELSE l.low OR r.low END AND (r.d < l.d OR (r.d = l.d AND r.l < l.l))")
     on = F.expr("l.token = r.token AND l.band = r.band") & fits & (F.expr(f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"))
     meet = lambda one, two: asking.where(one).alias("l").join(rare.where(two).alias("r"), on).select(F.col("r.d").alias("da"), F.col("r.l").alias("la"), F.col("l.d").alias("db"), F.col("l.l").alias("lb"))
     rest = meet(F.col("open"), F.lit(True)).unionByName(meet(~F.col("open"), F.col("open"))).distinct()
-    late = verified(durable(rest.join(tried, ["da", "la", "db", "lb"], "left_anti")), sets)
+    late = verified(copied(rest.join(tried, ["da", "la", "db", "lb"], "left_anti")), sets)
     return copies.select("doc_id", "line_no").unionByName(gone).unionByName(late).distinct()
 
 
@@ -187,7 +187,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, *, doc_id: str = "doc_i
     A null text stays null; one whose lines all go is empty.  Rows without id are unchanged;
     repeated rows and other columns stay; a column ``removed_lines`` is replaced.
     """
-    places = durable(repeated_lines(docs, percent, doc_id=doc_id, text=text, k=k))
+    places = copied(repeated_lines(docs, percent, doc_id=doc_id, text=text, k=k))
     gone = places.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines"))
     out = docs.drop("removed_lines").join(F.broadcast(gone) if small(places, BROADCAST_ROWS) else gone, F.col(doc_id) == F.col("__id"), "left").drop("__id")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("removed_lines", i)), "\n")
