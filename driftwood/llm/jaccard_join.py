@@ -11,13 +11,14 @@ Jaccard distance, one minus the Jaccard index, is a metric, and two documents li
    shingles bound the size of what they can link with.  Items that link share one of their
    ``n - ceil(threshold * n) + 1`` rarest hashes, so each such hash names a region.
 3. Pivots.  In each region with items that no pivot holds yet, those with the fewest shingles of
-   their own become pivots and the distances of the others to them are computed.  Items within r of a pivot
-   fall into its cell and link with it; the rest recur with more pivots, 1, 4, 16 and so on, so
-   rounds grow with the logarithm of the region.  Cells need no pairs inside: all their items hang
-   on the pivot.
+   their own become pivots and the others that sizes and own shingles allow are compared with them.  Items
+   within r of a pivot fall into its cell and link with it; the rest recur with more pivots, 1, 4, 16 and
+   so on, so rounds grow with the logarithm of the region.  Cells need no pairs inside: all their items
+   hang on the pivot.  A pivot that nothing links with has no cell and costs nothing further.
 4. Windows.  By the triangle inequality an item x of the cell of p can link with an item y outside
-   only if d(y, p) - d(x, p) <= r.  Items of that window whose component differs from the cell's
-   are replicated to it and verified against its items.
+   only if d(y, p) - d(x, p) <= r.  Only now, for the cells that there are and the y whose component
+   differs from the cell's, is d(y, p) computed; the y of the window are replicated to the cell and
+   verified against its items.
 
 What no step has paired can't link, so the components are those of all links.
 """
@@ -340,35 +341,35 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
     often.sort(key=lambda r: r["token"])
     frequent = live.sparkSession.sparkContext.broadcast(tuple(np.array([r[c] for r in often], np.int64) for c in ("token", "k")))
     open_ = items.select("id", "n", "s").mapInArrow(_region_batches(frequent, percent), "id bigint, n bigint, region bigint")
-    open_ = copied(open_.join(_side(sizes.select("id", "own")), "id").select("id", "n", "region", "own"))
+    open_ = copied(open_.join(_side(sizes.select("id", "own", "most")), "id").select("id", "n", "region", "own", "most"))
     far = 2 * percent - 100  # 100 * (1 - 2r): pairs less alike than this are outside every window
-    linked = 100 * F.col("shared") >= percent * F.col("whole")
 
     def alike(n: str, m: str, least: int):
         return 100 * F.least(n, m) >= least * F.greatest(n, m)
 
-    tested, links, per_region = None, None, 1
+    asked, tested, per_region = None, None, 1
     while True:
         # Items with the fewest shingles of their own come first: in a group of near copies, its centre.
         if per_region == 1:
-            first_item = F.min(F.struct("own", F.xxhash64("id").alias("o"), F.col("id").alias("p"), F.col("n").alias("m")))
-            pivots = open_.groupBy("region").agg(first_item.alias("x"), F.count("*").alias("k")).where("k > 1").select("region", "x.p", "x.m")
+            first_item = F.min(F.struct("own", F.xxhash64("id").alias("o"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("most").alias("nb")))
+            pivots = open_.groupBy("region").agg(first_item.alias("x"), F.count("*").alias("k")).where("k > 1").select("region", "x.p", "x.m", "x.nb")
         else:
             rank = F.row_number().over(Window.partitionBy("region").orderBy("own", F.xxhash64("id"), "id"))
-            pivots = open_.withColumn("rank", rank).where(F.col("rank") <= per_region).select("region", F.col("id").alias("p"), F.col("n").alias("m"))
-        met = copied(open_.join(pivots, "region").select("region", "id", "n", "own", "p", "m"))
+            pivots = open_.withColumn("rank", rank).where(F.col("rank") <= per_region).select("region", F.col("id").alias("p"), F.col("n").alias("m"), F.col("most").alias("nb"))
+        met = copied(open_.join(pivots, "region").select("region", "id", "n", "own", "most", "p", "m", "nb"))
         if per_region == 1:
             held = copied(met.groupBy("id").agg(F.count("*").alias("regions")))
-        pairs = met.where(F.col("id") != F.col("p")).where(alike("n", "m", far)).select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
-        fresh = pairs if tested is None else pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        near = _distances(fresh, items, far)
+        pairs = met.where(F.col("id") != F.col("p")).where(alike("n", "m", far)).select(F.col("id").alias("a"), F.col("p").alias("b"), "n", "m", F.col("most").alias("na"), "nb").distinct()
+        fresh = copied(pairs if asked is None else pairs.join(asked.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
+        asked = fresh if asked is None else asked.unionByName(fresh)
+        near = _distances(fresh.where(alike("n", "m", percent)).where("m <= na AND n <= nb").select("a", "b"), items, percent)
         tested = copied(near if tested is None else tested.unionByName(near))
         release(live.sparkSession)
-        links = tested.where(linked).select("a", "b")
+        links = tested.select("a", "b")
         # Items that are a pivot of the region, or in the cell of one, are done there.
         cell = links.select(F.col("a").alias("id"), F.col("b").alias("p"), F.lit(True).alias("hit"))
         done = F.max((F.col("id") == F.col("p")) | F.coalesce("hit", F.lit(False)))
-        left = copied(met.join(cell.hint("merge"), ["id", "p"], "left").groupBy("region", "id", "n", "own").agg(done.alias("done")).where("not done").select("region", "id", "n", "own"))
+        left = copied(met.join(cell.hint("merge"), ["id", "p"], "left").groupBy("region", "id", "n", "own", "most").agg(done.alias("done")).where("not done").select("region", "id", "n", "own", "most"))
         many = left.groupBy("region").count().where("count > 1")
         sizes_left = many.agg(F.max("count").alias("most"), F.sum(F.col("count") * F.col("count")).alias("pairs")).first()
         if sizes_left["most"] is None:
@@ -380,8 +381,7 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
         # The last round: what is left meets in full.  Of two items that link, the one whose rarest
         # hashes end first has all but what the link lets it miss of them in the other's; those in
         # regions where one of the two is done are not seen here and count as shared.
-        wide = open_.join(_side(sizes.select("id", "most")), "id")
-        one, two = (wide.select("region", F.col("id").alias(i), F.col("n").alias(n), F.col("most").alias(x)) for i, n, x in (("a", "n", "na"), ("b", "m", "nb")))
+        one, two = (open_.select("region", F.col("id").alias(i), F.col("n").alias(n), F.col("most").alias(x)) for i, n, x in (("a", "n", "na"), ("b", "m", "nb")))
         rare = lambda n: F.col(n) + 1 - F.ceil(F.col(n) * percent / 100)
         miss = lambda n, m: (100 * F.col(n) - percent * F.col(m)) / (100 + percent)
         least = F.least(rare("n") - miss("n", "m"), rare("m") - miss("m", "n"))
@@ -397,8 +397,12 @@ def links_of(live: DataFrame, percent: int = PERCENT, k: int = 5) -> tuple[DataF
     label = copied(sizes.join(comp, "id", "left").select("id", "n", "most", "own", F.coalesce("component", "id").alias("c")))
     named = lambda own, c, n, m: label.select(F.col("id").alias(own), F.col("c").alias(c), F.col("n").alias(n), F.col("most").alias(m), (F.col("n") - F.col("own")).alias(f"h{own}"))
     index = F.col("shared") / F.col("whole")
-    outer = tested.where(~linked).select(F.col("a").alias("y"), F.col("b").alias("p"), index.alias("jy"), F.col("shared").alias("sy")).join(named("y", "cy", "ny", "my"), "y").join(label.select(F.col("id").alias("p"), F.col("c").alias("cp")), "p").where("cy <> cp")
-    inner = tested.where(linked).select(F.col("a").alias("x"), F.col("b").alias("p"), index.alias("jx"), F.col("shared").alias("sx")).join(named("x", "cx", "nx", "mx"), "x")
+    inner = tested.select(F.col("a").alias("x"), F.col("b").alias("p"), index.alias("jx"), F.col("shared").alias("sx")).join(named("x", "cx", "nx", "mx"), "x")
+    # The cells, and of the items that met their pivots those that sizes let link with one of a cell.
+    cells = copied(inner.groupBy("p").agg(F.first("cx").alias("cp"), F.min("nx").alias("least"), F.max("mx").alias("most")))
+    about = asked.select(F.col("a").alias("y"), F.col("b").alias("p")).join(_side(cells), "p").join(_side(named("y", "cy", "ny", "my")), "y").where("cy <> cp AND least <= my AND ny <= most")
+    outer = _distances(about.select(F.col("y").alias("a"), F.col("p").alias("b")), items, far)
+    outer = outer.select(F.col("a").alias("y"), F.col("b").alias("p"), index.alias("jy"), F.col("shared").alias("sy")).join(named("y", "cy", "ny", "my"), "y")
     fits = (F.col("jx") - F.col("jy") <= 1 - percent / 100 + 1e-9) & (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("my")) & (F.col("ny") <= F.col("mx")) & alike("nx", "ny", percent)
     # What x and y share is in p too or, at most, what each shares with others beside it.
     through = F.least("sx", "sy") + F.least(F.col("hx") - F.col("sx"), F.col("hy") - F.col("sy"))

@@ -82,6 +82,27 @@ def test_jaccard_join_of_far_items_that_share_regions(spark):
     assert got == dict(enumerate(classes(len(sets), links)))
 
 
+def test_pivots_without_a_cell_cost_no_distances(spark, monkeypatch):
+    """Many texts that share most of a text that isn't there: all are near each other, few are linked."""
+    rng, told = random.Random(4), []
+    base = rng.choices(VOCABULARY, k=154)
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for j in range(4):
+            own[rng.randrange(38) + 38 * j] = f"own{i}x{j}"
+        texts.append(" ".join(own))
+    texts += [f"{texts[7]} more", f"{texts[20]} and more"]
+    sets = [shingles(t, ascii_lower) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    near = sum(2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a))
+    distances = jaccard_join._distances
+    monkeypatch.setattr(jaccard_join, "_distances", lambda *a: told.append(distances(*a).cache()) or told[-1])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == dict(enumerate(classes(len(sets), links)))
+    assert near > 20 * len(texts) and sum(t.count() for t in told) <= 4 * len(texts)
+
+
 def test_jaccard_join_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (5, "a b c d e f"), (5, "other words here"), (8, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
