@@ -272,6 +272,19 @@ def test_a_passage_in_a_text_of_repeated_lines(spark):
     assert (1, 0, 0, 51, 0, 51) in got
 
 
+def test_a_chain_is_aligned_once():
+    """Matches on one diagonal are one chain; of several diagonals none is told again by the Fenwick tree."""
+    import pyarrow as pa
+
+    one = [(9, 1, x, x + 5) for x in (*range(0, 12), *range(40, 52))]
+    two = [(9, 2, x, x + 5) for x in range(0, 12)] + [(9, 2, x, x + 900) for x in range(400, 420)]
+    rows = np.array(one + two, np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(4)], ["doc", "ref", "x", "y"])
+    told = [tuple(map(str, r.values())) for b in passages._chain_batches(4, 10, 50)(iter([batch])) for r in b.to_pylist()]
+    assert len(told) == len(set(told)) == 3
+    assert passages.copied.__module__ == "driftwood.llm._common"
+
+
 def test_chains_against_all_chains():
     rng = random.Random(7)
     for _ in range(200):
